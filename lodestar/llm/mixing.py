@@ -10,8 +10,6 @@ and those residuals meet in further rounds: a reduction tree over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,19 +72,34 @@ def _pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[n
     return p, rest
 
 
+def _settle(size: np.ndarray, p: np.ndarray, goal: float) -> np.ndarray:
+    """Bring the sum of size * p, p all 0 or 1, nearer to the goal by single flips while one helps."""
+    gap = goal - float(size @ p)
+    for _ in range(64):
+        after = np.abs(gap - np.where(p > 0, -size, size))
+        j = int(np.argmin(after))
+        if after[j] >= abs(gap):
+            break
+        gap -= -size[j] if p[j] > 0 else size[j]
+        p[j] = 1 - p[j]
+    return p
+
+
 def _round_groups(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     """One level of the tree: every (source, group) is rounded; its residual has open = true."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "tie"], kind="stable", ascending=[False, True]).reset_index(drop=True)
         rng = np.random.default_rng([seed, len(pdf), int(pdf["tie"].iloc[0]) & 0xFFFFFFFF])
-        p, rest = _pivot(pdf["size"].to_numpy(float), pdf["p"].to_numpy(float).copy(), rng)
+        size, before = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float)
+        p, rest = _pivot(size, before.copy(), rng)
+        if rest >= 0 and last:
+            p[rest] = float(p[rest] >= 0.5)
+            free = (before > 1e-12) & (before < 1 - 1e-12)
+            p[free] = _settle(size[free], p[free], float(size[free] @ before[free]))
         pdf["p"], pdf["open"] = p, False
-        if rest >= 0:
-            if last:
-                pdf.loc[rest, "p"] = float(p[rest] >= 0.5)
-            else:
-                pdf.loc[rest, "open"] = True
+        if rest >= 0 and not last:
+            pdf.loc[rest, "open"] = True
         return pdf
 
     return rows.groupBy("source", "grp").applyInPandas(run, rows.schema)
@@ -96,8 +109,8 @@ def mix(df: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "s
     """How often each document enters the mix.
 
     Returns one row a document: doc_id, size (words), source, source_size, target, copies and taken
-    (copies times size). A source's taken words miss its target by at most half the size of its last
-    fractional document, a small one as a rule, because large ones are rounded first. Null texts and
+    (copies times size). A source's taken words miss its target by less than half the size of its last
+    fractional document; what is missed is then made smaller by single documents of the last group. Null texts and
     texts without words have size 0 and take 0 words; null sources are a source of their own, last in
     order; rows with the same id are rounded each for itself; an empty table gives no rows. The same
     rows give the same result whatever their order or partitioning, up to swaps between rows that are

@@ -93,7 +93,7 @@ def _part_of(key: Column, cuts: list[int]) -> Column:
     return among(0, len(cuts))
 
 
-def shard(df: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_id", part_bytes: int = 128 << 20, tolerance: float = 0.005) -> DataFrame:
+def shard(df: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_id", part_bytes: int = 128 << 20, tolerance: float = 0.001) -> DataFrame:
     """Deal rows into shards of near equal bytes; adds size, text_crc32, law, shard, slot and grown_shard.
 
     Law ``bytes``: each shard's sizes sum to within ``tolerance`` of a shard on either side of equal,
