@@ -104,7 +104,9 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_i
     table gives an empty result. Columns named as ours are replaced.
     """
     df = df.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    keyed = df.withColumns({"size": text_size(F.col(text)), "_key": sort_key(F.col(text), F.col(id_))})
+    # The checksum comes before the exchange, so that a query without the text doesn't carry it along.
+    crc = F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long")
+    keyed = df.withColumns({"size": text_size(F.col(text)), "text_crc32": crc, "_key": sort_key(F.col(text), F.col(id_))})
     # Keys and sizes only, kept as a table, so that probing reads no text.
     spark = df.sparkSession
     keys = Scratch(spark, "shard").save(keyed.select(F.col("_key").alias("key"), "size"), "keys")
@@ -123,6 +125,6 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_i
     out = keyed.withColumn("_part", at).withColumn("_n", F.row_number().over(w).cast("long") - 1)
     out = out.join(offsets, "_part").withColumn("slot", F.col("_n") + F.col("_offset"))
     return out.select(
-        *df.columns, "size", F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"),
+        *df.columns, "size", "text_crc32", F.lit("bytes").alias("law"),
         F.floor(F.col("_part") / per_shard).cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
