@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("panels", "series", "entities", "cohorts", "statistics", "merges", "texts")
+_MODULES = ("panels", "series", "entities", "cohorts", "statistics", "merges", "texts", "scans", "streams")
 
 
 def query(name: str, sql: str | None = None):
