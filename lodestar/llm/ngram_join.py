@@ -32,6 +32,8 @@ from .common import Scratch, components, small
 CLASS_RATIO = 0.75
 #: Fragments that partial overlaps are counted in, as bits of the hash.
 FRAGMENT_BITS = 4
+#: Least document frequencies of the bands that bound overlaps; an n-gram of one document is in none.
+BANDS = (2, 4, 8, 16, 64, 256)
 #: Words that a worker's table of hashes keeps.
 WORDS_KEPT = 400_000
 
@@ -181,23 +183,29 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, te
     enough = met.groupBy("node", "n", "k").agg(F.count("*").alias("c")).where(F.col("c") >= of_class - may_differ(F.col("n"), F.floor(F.col("n") * den / num)))
     met = met.join(enough.select("node", "k"), ["node", "k"])
 
-    # Only these need their sets at hand; how many of their n-grams no other of them has bounds every overlap.
+    # Only these need their sets at hand. Their n-grams by the number of documents among these that have them
+    # are fragments of another global order; the counts of two documents in each bound what they can share.
     alive = met.select("node").distinct()
     reps = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(alive, "node").select("doc_id").distinct()
     segs = _segments(src.join(small(reps), "doc_id", "left_semi"), text, words)
     segs = scratch.save(segs.dropDuplicates(["node", "frag"]), "segments")
     grams = segs.select("node", F.explode("seg").alias("g"))
-    single = grams.groupBy("g").agg(F.min("node").alias("node"), F.count("*").alias("df")).where("df = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"))
-    met = met.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    met = scratch.save(met.where(_enough(F.col("n") - F.col("own"), F.col("n") - F.col("own"), F.col("n"), num, den)), "buckets")
-
-    def possible(na, oa, nb, ob):
-        return _enough(F.least(na - oa, nb - ob), na, nb, num, den)
+    shared = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
+    edges = [*BANDS, None]
+    bands = [F.count_if((F.col("df") >= lo) & (F.col("df") < hi) if hi else F.col("df") >= lo).alias(f"c{i}") for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    cs = [f"c{i}" for i in range(len(BANDS))]
+    met = met.join(shared.groupBy("node").agg(*bands), "node")
+    most_shared = sum((F.col(c) for c in cs), F.lit(0))
+    met = scratch.save(met.where(_enough(most_shared, most_shared, F.col("n"), num, den)), "buckets")
+
+    def possible(na: Column, a: list[Column], nb: Column, b: list[Column]) -> Column:
+        """Whether the overlap can be large enough: in no band is it larger than the smaller count."""
+        return _enough(sum((F.least(x, y) for x, y in zip(a, b)), F.lit(0)), na, nb, num, den)
 
     # First round: the leader of a bucket, the document with the smallest share of n-grams of its own.
-    lead = met.withColumn("lead", F.min(F.struct((F.col("own") / F.col("n")).alias("r"), "node", "n", "own")).over(Window.partitionBy("sig")))
-    pairs = lead.where(F.col("node") != F.col("lead.node")).where(possible(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own")))
+    alone = 1 - most_shared / F.col("n")
+    lead = met.withColumn("lead", F.min(F.struct(alone.alias("r"), "node", "n", *cs)).over(Window.partitionBy("sig")))
+    pairs = lead.where(F.col("node") != F.col("lead.node")).where(possible(F.col("n"), [F.col(c) for c in cs], F.col("lead.n"), [F.col(f"lead.{c}") for c in cs]))
     pairs = pairs.select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
     first = scratch.save(_verify(pairs, segs, num, den), "links")
     roots = scratch.save(components(scratch, first), "roots")
@@ -207,9 +215,10 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, te
     at = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     most = at.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("sig", F.col("m.root").alias("major"))
     at = scratch.save(at.join(most, "sig"), "open")
-    x = at.where("root <> major").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("root").alias("ra"))
-    y = at.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("root").alias("rb"), (F.col("root") == F.col("major")).alias("big"))
-    cross = x.join(y, "sig").where((F.col("ra") != F.col("rb")) & (F.col("big") | (F.col("a") < F.col("b"))) & possible(F.col("na"), F.col("oa"), F.col("nb"), F.col("ob")))
+    x = at.where("root <> major").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *[F.col(c).alias(f"x{c}") for c in cs])
+    y = at.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("major")).alias("big"), *[F.col(c).alias(f"y{c}") for c in cs])
+    can = possible(F.col("na"), [F.col(f"x{c}") for c in cs], F.col("nb"), [F.col(f"y{c}") for c in cs])
+    cross = x.join(y, "sig").where((F.col("ra") != F.col("rb")) & (F.col("big") | (F.col("a") < F.col("b"))) & can)
     cross = cross.select("a", "na", "b", "nb").distinct()
     second = scratch.save(_verify(cross, segs, num, den), "links")
     if second.limit(1).count():
