@@ -50,3 +50,14 @@ def candidate_titles(name: Column) -> Column:
     shouted = F.when((F.upper(cut) == cut) & (F.length(cut) > 4), F.initcap(cut))
     first = F.when(F.size(F.split(cut, " ")) > 1, F.substring_index(cut, " ", 1))
     return F.array_distinct(F.filter(F.array(full, cut, shouted, F.concat(cut, F.lit(" (company)")), first), lambda x: x.isNotNull()))
+
+
+def bank_key(name: Column) -> Column:
+    """A bank's name in lower case without signs and without its legal or trade suffix."""
+    s = squeeze(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    return F.regexp_replace(s, "^(.+?)(?: (?:llc|inc|co|corp|ltd|lp|plc|securities|capital markets|and co))+$", "$1")
+
+
+def filing_path(cik: Column, accession: Column, document: Column) -> Column:
+    """edgar/data/<id without zeros>/<accession without dashes>/<document>; null if the id isn't a number."""
+    return F.concat(F.lit("edgar/data/"), cik.try_cast("bigint").cast("string"), F.lit("/"), F.regexp_replace(accession, "-", ""), F.lit("/"), document)

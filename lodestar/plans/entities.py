@@ -240,3 +240,22 @@ def tape_reconcile(t: Tables):
     verdict = cohort.first_reason(("no_ticker", F.col("issuer_id") % 5 == 0), ("outside_entitlement", F.col("listed_on") < F.lit("2024-01-02").cast("date")), ("no_bars", F.col("first_trade").isNull()), ("agrees", F.col("first_trade") == F.col("listed_on")), otherwise="corrected")
     j = j.withColumn("verdict", verdict)
     return j.withColumn("delta_days", F.when(F.col("verdict") == "corrected", F.datediff("first_trade", "listed_on")))
+
+
+@query("bank_key", "select s_suppkey, 'supplier ' || regexp_extract(s_name, '[0-9]+') bank from supplier")
+def bank_key(t: Tables):
+    n = F.concat("s_name", F.element_at(F.array(*map(F.lit, (" Securities, LLC", " & Co.", " Capital Markets Inc.", ""))), (F.col("s_suppkey") % 3 + 1).cast("int")))
+    n = F.when(F.col("s_suppkey") % 3 == 1, F.concat("s_name", F.lit(" Co."))).otherwise(n)
+    return t.supplier.select("s_suppkey", names.bank_key(n).alias("bank"))
+
+
+@query("filing_path", "select o_orderkey, case when o_orderkey % 7 <> 0 then 'edgar/data/' || o_custkey || '/0001' || o_orderkey || '/doc.htm' end path from orders")
+def filing_path(t: Tables):
+    cik = F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.lpad(F.col("o_custkey").cast("string"), 10, "0"))
+    return t.orders.select("o_orderkey", names.filing_path(cik, F.concat(F.lit("0001-"), F.col("o_orderkey").cast("string")), F.lit("doc.htm")).alias("path"))
+
+
+@query("confidence_gate", f"with {FILINGS} select filing_id, case when form = '424B4' and amount / 500000 >= 0.6 then round(amount, 2) end price, form = '424B4' and amount / 500000 >= 0.6 written from filings")
+def confidence_gate(t: Tables):
+    ok = (F.col("form") == "424B4") & (F.col("amount") / 500000 >= 0.6)
+    return t.filings.select("filing_id", F.when(ok, F.round("amount", 2)).alias("price"), ok.alias("written"))

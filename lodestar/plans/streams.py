@@ -50,3 +50,16 @@ def stream_promotion(t: Tables):
     listings = e("signup").select(F.col("event_id").alias("listing_id"), F.col("user_id").alias("issuer_id"), F.col("ts").alias("listed_at"))
     bars = e("purchase").select(F.col("event_id").alias("bar_id"), F.col("user_id").alias("issuer_id"), F.col("ts").alias("bar_at"), F.col("value").alias("price"))
     return st.run_to_table(st.promotions(listings, bars, 2).select("listing_id", "bar_id"), "promotion")
+
+
+@query("stream_enrich_refreshed", f"with {_ALIAS}, {_GRAMS} select doc_id, issuer_id, kind from g join a on g.g = a.alias where kind = 'legal'")
+def stream_enrich_refreshed(t: Tables):
+    docs = st.read_stream(t.spark, f"{t.sf_dir}/documents.parquet")
+
+    def act(batch, i, at):
+        # The aliases are read again for every batch, so a batch sees those of its time.
+        fresh = _aliases(Tables(batch.sparkSession, t.sf_dir)).where("kind = 'legal'")
+        match.candidates(batch, fresh, "doc_id", F.col("text")).select("doc_id", "issuer_id", "kind").write.mode("overwrite").parquet(f"{at}/hits/batch={i}")
+
+    at = st.run_each_batch(docs, "refresh", act, mode="append")
+    return t.spark.read.parquet(f"{at}/hits").drop("batch")
