@@ -9,21 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def kth_value(df: DataFrame, value: str, k: int, gather: int = 10_000):
+    """The k-th smallest value (from 0) of a large column.
+
+    Counts by value are narrowed to the range of the k-th in rounds, each one aggregate over 64 ranges,
+    until at most ``gather`` distinct values are left for the driver.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    inside, below = counts, 0
+    while inside.count() > gather:
+        cuts = sorted(set(inside.agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 10_000)).first()[0]))
+        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_v")))
+        sums = sorted(inside.groupBy(at.alias("_p")).agg(F.sum("_c"), F.count("*")).collect())
+        for part, n, _ in sums:
+            if below + n > k:
+                break
+            below += n
+        inside = inside.where(at == part)
+    for v, c in sorted(inside.collect()):
+        below += c
+        if below > k:
+            return v
+    return None
+
+
 def upper_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """sorted[n // 2] of each group, with n: a rank and a filter, no list of the group is gathered."""
     df = df.where(F.col(value).isNotNull())
     if not by:
-        # Global: the exact value at a position, from counts by value.
         n = df.count()
-        w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        c = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-        lo = df.agg(F.percentile_approx(value, [0.49, 0.51], 100_000)).first()[0]
-        if not lo:
-            return c.limit(0).select(F.col("_v").alias("upper_median"), F.lit(0).cast("long").alias("n"))
-        below = c.where(F.col("_v") < lo[0]).agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
-        near = c.where(F.col("_v").between(lo[0], lo[1]))
-        hit = near.withColumn("_s", F.sum("_c").over(w) + below).where(F.col("_s") > n // 2)
-        return hit.agg(F.min("_v").alias("upper_median"), F.lit(n).cast("long").alias("n"))
+        return df.sparkSession.createDataFrame([(kth_value(df, value, n // 2), n)], f"upper_median {dict(df.dtypes)[value]}, n long")
     w = Window.partitionBy(*by).orderBy(value)
     r = df.withColumns({"_k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))})
     return r.where(F.col("_k") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(value).alias("upper_median"), "n")

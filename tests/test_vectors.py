@@ -232,3 +232,10 @@ def test_page_has_more(spark):
     assert [r.id for r in p] == [9, 7, 5] and all(r.has_more for r in p)
     q = paging.keyset_page(df, "d", "id", 9, (day("2024-01-01"), 5)).collect()
     assert [r.id for r in q] == [3, 1, 8, 6, 4, 2, 0] and not q[0].has_more
+
+
+def test_kth_value(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 10_007).alias("v"))
+    want = sorted(i * 7919 % 10_007 for i in range(20_000))
+    for k in (0, 1, 5000, 10_000, 19_999):
+        assert aggregates.kth_value(df, "v", k, gather=50) == want[k]
