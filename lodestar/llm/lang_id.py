@@ -159,7 +159,7 @@ def fit(labelled: DataFrame, limit: int = TRAIN_DOCS) -> Model:
 
     rows = bounded(labelled.where("text is not null and lang is not null").select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text", "lang"), limit)
     feats = rows.mapInPandas(run, "doc_id long, lang string, ids binary, counts binary").collect()
-    return train([(r[0], r[1], np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<u4").astype(np.int64)) for r in feats])
+    return train([(r[0], r[1], np.frombuffer(r[2], "<u2"), np.frombuffer(r[3], "<u4")) for r in feats])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
