@@ -150,7 +150,7 @@ def long_panel(t: Tables):
 
 
 @query("merge_aliased_series", """
-select user_id % 10 entity, ts::date as day, sum(n) views from (select user_id, ts, (json_extract(props, '$.k'))::bigint n from events) group by 1, 2""")
+select user_id % 10 entity, ts::date as day, sum(n)::bigint views from (select user_id, ts, (json_extract(props, '$.k'))::bigint n from events) group by 1, 2""")
 def merge_aliased_series(t: Tables):
     views = t.events.select("user_id", "ts", F.get_json_object("props", "$.k").cast("long").alias("n")).groupBy(F.col("user_id").alias("title"), F.to_date("ts").alias("day")).agg(F.sum("n").alias("views"))
     titles = views.select("title", (F.col("title") % 10).alias("entity")).distinct()
