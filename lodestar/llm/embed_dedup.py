@@ -134,7 +134,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embed
     if uniq.groupBy("node").count().where("count > 1").limit(1).count():
         raise ValueError("two different vectors have one 64-bit hash")
     sizes = {r[0]: r[1] for r in uniq.groupBy("dim").count().collect()}
-    blocks = F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, ceil(n / block))]), F.col("dim")) if sizes else F.lit(1)
+    # At least 16 blocks of a thousand vectors, so that few vectors give work to many tasks too.
+    n_blocks = {d: max(ceil(n / block), min(16, ceil(n / 1024))) for d, n in sizes.items()}
+    blocks = F.element_at(F.create_map(*[F.lit(x) for kv in n_blocks.items() for x in kv]), F.col("dim")) if sizes else F.lit(1)
 
     as_bytes = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, dtype="<f8").tobytes()), "binary")
     placed = uniq.select("node", "copies", "dim", as_bytes("v").alias("v"), blocks.alias("of")).withColumn("blk", F.pmod("node", F.col("of")))
