@@ -224,9 +224,11 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, te
     if second.limit(1).count():
         roots = scratch.save(components(scratch, first.union(second)), "roots")
 
-    named = docs.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # By node first, so that copies don't meet in one group; then each document looks up its node.
+    per = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = per.groupBy("root").agg(F.min("first").alias("least"))
+    known = per.join(least, "root").select("node", "least")
+    return docs.select("doc_id", "n", "node").join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, **kw) -> DataFrame:
