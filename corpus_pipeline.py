@@ -17,9 +17,17 @@ from lodestar.llm.queries import language_model
 LEAST_SCORE = 0.4
 
 
+def _with_own_columns(docs: DataFrame, judge, *results: str) -> DataFrame:
+    """judge(docs) with exactly the columns of docs, also where they have the names of judge's results."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() in results}
+    out = judge(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = lang_id.identify(docs.drop("lang_pred", "score"), language_model(spark, sf_dir))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    model = language_model(spark, sf_dir)
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
+    return _with_own_columns(docs, lambda d: lang_id.identify(d, model).where(sure), "lang_pred", "score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.find_overlaps(docs, read(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    benchmark = read(spark, sf_dir, "benchmark")
+    return _with_own_columns(docs, lambda d: decontaminate.find_overlaps(d, benchmark).where("not contaminated"), "bench_items", "bench_equal", "contaminated")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
