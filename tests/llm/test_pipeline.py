@@ -34,3 +34,15 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, "the thing with that and there is the other of them", "en", "a", 3), (3, "the thing with that and there is the other of them", "en", "a", 3), (None, "the end of that and the other", None, "b", None), (5, "que la de los y el en una", "es", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("own") for c in ("score", "lang_pred", "contaminated", "bench_items", "node", "n", "copies", "target", "slot2")})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name != "sharding":
+            assert docs.columns == columns and docs.where("score <> 'own' or contaminated <> 'own'").count() == 0
+    assert docs.count() > 0
