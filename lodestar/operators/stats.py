@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .timeseries import average_rank
+from .timeseries import average_rank, value_ranks
 
 
 def normal_p(z: Column) -> Column:
@@ -69,11 +69,11 @@ def welch(df: DataFrame, flag: str, value: str, by: Sequence[str] = ()) -> DataF
 
 def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     """U of group 1, z with ties corrected, normal p and rank-biserial; blanks with fewer than 3 on a side."""
+    # Ranks and ties need only how often each value occurs in either group.
     d = df.where(F.col(value).isNotNull() & F.col(flag).isin(0, 1))
-    r = average_rank(d, value, (), "_r")
-    g = r.agg(F.count_if(F.col(flag) == 1).alias("n1"), F.count_if(F.col(flag) == 0).alias("n0"), F.sum(F.when(F.col(flag) == 1, F.col("_r"))).alias("_r1"))
-    ties = d.groupBy(value).agg(F.count("*").cast("double").alias("_t")).agg(F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties"))
-    g = g.crossJoin(F.broadcast(ties))
+    counts = d.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"), F.count_if(F.col(flag) == 1).alias("_n1"))
+    t = F.col("_n").cast("double")
+    g = value_ranks(counts, "_r").agg(F.sum("_n1").alias("n1"), F.sum(F.col("_n") - F.col("_n1")).alias("n0"), F.sum(F.col("_n1") * F.col("_r")).alias("_r1"), F.sum(t * t * t - t).alias("_ties"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     u = F.col("_r1") - n1 * (n1 + 1) / 2

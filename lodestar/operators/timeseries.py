@@ -92,16 +92,21 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
         ties = Window.partitionBy(*by, value)
         r = F.rank().over(w) + (F.count("*").over(ties) - 1) / 2
         return df.where(F.col(value).isNotNull()).withColumn(name, r.cast("double"))
-    n = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    return df.join(value_ranks(counts, name).select("_v", name), F.col(value) == F.col("_v")).drop("_v")
+
+
+def value_ranks(counts: DataFrame, name: str = "avg_rank") -> DataFrame:
+    """Adds the average rank to distinct values ``_v`` that occur ``_n`` times each."""
     # Cuts of the value range, a bounded list; any cuts give the same ranks.
-    cuts = n.agg(F.percentile_approx("_v", [i / RANK_PARTS for i in range(1, RANK_PARTS)])).first()[0] or []
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
-    ranged = n.withColumn("_p", at)
+    cuts = counts.agg(F.percentile_approx("_v", [i / RANK_PARTS for i in range(1, RANK_PARTS)])).first()[0] or []
+    at = sum(((F.lit(c) < F.col("_v")).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    ranged = counts.withColumn("_p", at)
     before = ranged.groupBy("_p").agg(F.sum("_n").alias("_s"))
     before = before.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ranged.withColumn("_i", inner).join(F.broadcast(before), "_p").select("_v", (F.col("_b") + F.col("_i") + (F.col("_n") + 1) / 2).cast("double").alias(name))
-    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+    out = ranged.withColumn("_i", inner).join(F.broadcast(before), "_p")  # a row a range
+    return out.withColumn(name, (F.col("_b") + F.col("_i") + (F.col("_n") + 1) / 2).cast("double")).select(*counts.columns, name)
 
 
 def interval_union_days(intervals: DataFrame, entity: str, lo: str, hi: str) -> DataFrame:
