@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.workspace import folder
 from .timeseries import average_rank, value_ranks
 
 
@@ -30,27 +31,47 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int =
     return g.where(F.col("n") >= least).select(*by, "n", F.coalesce(F.nanvl("_c", F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
+#: Rows of a permutation that one task orders, and rows that one chunk of permutations makes.
+PERM_PART, PERM_CHUNK = 4096, 20_000_000
+
+
 def permutation_test(df: DataFrame, id_: str, x: str, y: str, permutations: int, seed: str = "p", chunk: int = 500) -> DataFrame:
     """Two-sided permutation p of Spearman's rho, (extreme + 1) / (P + 1).
 
-    A permutation orders the rows by the md5 of its number and their id. The rows, of an analysis frame
-    that is small by nature, meet every permutation; sums per permutation are taken at once, in chunks.
+    A permutation orders the rows by the md5 of its number and their id, a number. Positions come from counts by range
+    of the md5, then within a range, and meet the other side's by shuffle: no task holds all rows. A chunk of
+    permutations is counted at a time, of at most ``chunk``; fewer with more rows.
     """
+    spark = df.sparkSession
     d = average_rank(average_rank(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, (), "_rx"), y, (), "_ry")
-    d = d.select(id_, "_rx", "_ry").withColumn("_pos", F.row_number().over(Window.orderBy(id_)))
-    ry = d.select("_pos", "_ry")
-    parts = []
+    d = d.select(F.col(id_).alias("_id"), "_rx", "_ry")
+    first = value_ranks(d.groupBy(F.col("_id").alias("_v")).agg(F.count("*").alias("_n")), "_r").select(F.col("_v").alias("_id"), (F.col("_r") - (F.col("_n") + 1) / 2).cast("long").alias("_before"))
+    d = d.join(first, "_id").withColumn("_pos", F.col("_before") + F.row_number().over(Window.partitionBy("_id").orderBy("_rx", "_ry")))
+    at = folder(spark, "permutation")
+    d.select("_id", "_rx", "_ry", "_pos").write.parquet(at)
+    d = spark.read.parquet(at)
+    m = d.agg(F.count("*").alias("n"), F.sum(F.col("_rx") * F.col("_ry")).alias("obs"), F.avg("_rx").alias("mx"), F.avg("_ry").alias("my"), F.corr("_rx", "_ry").alias("rho")).first()
+    schema = "n long, rho double, extreme long, p double"
+    if not m.n:
+        return spark.createDataFrame([], schema)
+    centre, parts = m.n * m.mx * m.my, -(-m.n // PERM_PART)
+    chunk = max(1, min(chunk, PERM_CHUNK // m.n))
+    ry, extreme = d.select("_pos", "_ry"), 0
+    rx = d.select("_id", "_rx").repartition(spark.sparkContext.defaultParallelism)
     for lo in range(0, permutations, chunk):
-        perms = df.sparkSession.range(lo, min(permutations, lo + chunk)).withColumnRenamed("id", "perm")
-        shuffled = perms.crossJoin(d.select(id_, "_rx")).withColumn("_pos", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat(F.lit(seed), F.col("perm").cast("string"), F.lit(":"), F.col(id_).cast("string"))), id_)))
-        parts.append(shuffled.join(F.broadcast(ry), "_pos").groupBy("perm").agg(F.sum(F.col("_rx") * F.col("_ry")).alias("_s")))
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.union(p)
-    m = d.agg(F.count("*").alias("n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_obs"), F.avg("_rx").alias("_mx"), F.avg("_ry").alias("_my"), F.corr("_rx", "_ry").alias("rho"))
-    centre = F.col("n") * F.col("_mx") * F.col("_my")
-    far = F.abs(F.col("_s") - centre) >= F.abs(F.col("_obs") - centre) - 1e-9
-    return sums.crossJoin(F.broadcast(m)).groupBy("n", "rho").agg(F.count_if(far).alias("extreme"), F.count("*").alias("_p")).select("n", "rho", "extreme", ((F.col("extreme") + 1) / (F.col("_p") + 1)).alias("p"))
+        perms = F.explode(F.sequence(F.lit(lo), F.lit(min(permutations, lo + chunk) - 1))).alias("perm")
+        keys = rx.select("_id", "_rx", perms).withColumn("_h", F.md5(F.concat(F.lit(seed), F.col("perm").cast("string"), F.lit(":"), F.col("_id").cast("string"))))
+        keys = keys.withColumn("_part", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(parts), 32))
+        inner = F.row_number().over(Window.partitionBy("perm", "_part").orderBy("_h", "_id"))
+        if parts > 1:
+            sizes = keys.groupBy("perm", "_part").agg(F.count("*").alias("_s"))
+            before = sizes.withColumn("_b", F.coalesce(F.sum("_s").over(Window.partitionBy("perm").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            shuffled = keys.withColumn("_i", inner).join(before.select("perm", "_part", "_b"), ["perm", "_part"]).withColumn("_pos", F.col("_b") + F.col("_i"))
+        else:
+            shuffled = keys.withColumn("_pos", inner.cast("long"))
+        sums = shuffled.join(ry, "_pos").groupBy("perm").agg(F.sum(F.col("_rx") * F.col("_ry")).alias("_s"))
+        extreme += sums.where(F.abs(F.col("_s") - centre) >= abs(m.obs - centre) - 1e-9).count()
+    return spark.createDataFrame([(m.n, m.rho, extreme, (extreme + 1) / (permutations + 1))], schema)
 
 
 def welch(df: DataFrame, flag: str, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -53,7 +53,7 @@ x as (select s.k, sum(s.a * r.b) t from s join r on s.pos = r.pos group by 1), o
 select n, round(rho, 6) rho, count(*) filter (where abs(t - c) >= abs(obs - c) - 1e-9) extreme, round((count(*) filter (where abs(t - c) >= abs(obs - c) - 1e-9) + 1) / (count(*) + 1), 6) p from x, o group by n, rho""")
 def permutation_test(t: Tables):
     e = ts.window_counts(t.listings.select("issuer_id", "listed_on", "open_price"), t.mentions, "issuer_id", "posted_at", "listed_on", 14, 14)
-    r = stats.permutation_test(e.where("issuer_id < 400").withColumnRenamed("n_points", "cnt"), "issuer_id", "cnt", "open_price", 200)
+    r = stats.permutation_test(e.withColumnRenamed("n_points", "cnt"), "issuer_id", "cnt", "open_price", 10_000)
     return r.select("n", F.round("rho", 6).alias("rho"), "extreme", F.round("p", 6).alias("p"))
 
 
