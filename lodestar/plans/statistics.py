@@ -81,7 +81,7 @@ g as (select (count(*) filter (where f = 1))::double n1, (count(*) filter (where
 u as (select n1, n0, r1 - n1 * (n1 + 1) / 2 u, n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1))) var from g, tt)
 select n1::bigint n1, n0::bigint n0, u, round((u - n1 * n0 / 2) / sqrt(var), 6) z, round(2 * u / (n1 * n0) - 1, 6) rank_biserial from u""")
 def mann_whitney(t: Tables):
-    m = stats.mann_whitney(_outcomes(t).where("offer < 1000"), "treated", "ret")
+    m = stats.mann_whitney(_outcomes(t), "treated", "ret")
     return m.select("n1", "n0", "u", F.round("z", 6).alias("z"), F.round("rank_biserial", 6).alias("rank_biserial"))
 
 
@@ -102,7 +102,7 @@ def sign_test(t: Tables):
 
 @query("winsorize", f"with {OUTCOMES}, o as (select order_id, line, {_RET} v from outcomes), q as (select quantile_cont(v, 0.01) lo, quantile_cont(v, 0.99) hi from o) select order_id, line, round(least(greatest(v, lo), hi), 6) w from o, q where order_id % 10 = 0")
 def winsorize(t: Tables):
-    return stats.winsorize(_outcomes(t), "ret").where("order_id % 10 = 0").select("order_id", "line", F.round("winsorized", 6).alias("w"))
+    return stats.winsorize(_outcomes(t), "ret").select("order_id", "line", F.round("winsorized", 6).alias("w"))
 
 
 @query("ols_simple", f"""with {OUTCOMES}, o as (select {_RET} y, discount x from outcomes), m as (select regr_slope(y, x) b, regr_intercept(y, x) a, regr_r2(y, x) r2, count(*) n, avg(x) mx, regr_sxx(y, x) sxx from o),
@@ -138,7 +138,7 @@ def stratified_diff(t: Tables):
 @query("underpricing_outcome", f"with {OUTCOMES} select order_id, line, round(close / offer - 1, 6) ret, round((close / offer - 1) * 100, 4) ret_pct from outcomes where line = 1")
 def underpricing_outcome(t: Tables):
     r = F.try_divide("close", "offer") - 1
-    return t.outcomes.where("line = 1").select("order_id", "line", F.round(r, 6).alias("ret"), F.round(r * 100, 4).alias("ret_pct"))
+    return t.outcomes.select("order_id", "line", F.round(r, 6).alias("ret"), F.round(r * 100, 4).alias("ret_pct"))
 
 
 @query("analysis_table", f"""
