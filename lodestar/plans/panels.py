@@ -165,7 +165,7 @@ select entity, pre, post, coalesce(pre_exact, true) pre_exact, coalesce(post_exa
 def interval_compare(t: Tables):
     late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
     exact = F.col("event_type") != "error"
-    c = t.events.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("entity")).agg(
+    c = t.events.groupBy(F.col("user_id").alias("entity")).agg(
         F.count_if(~late).alias("pre"), F.count_if(late).alias("post"), F.coalesce(F.bool_and(F.when(~late, exact)), F.lit(True)).alias("pre_exact"), F.coalesce(F.bool_and(F.when(late, exact)), F.lit(True)).alias("post_exact")
     )
     return attention.compare_counts(c, "pre", "post", "pre_exact", "post_exact")
