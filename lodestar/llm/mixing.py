@@ -5,7 +5,8 @@ average: floor(c) certainly, and one more with the fractional probability p. Pro
 in pairs: word mass moves at random from one document to the other, in the direction that keeps each
 one's expectation, until one is at 0 or 1. A pair's mass is kept, so a source's total is kept but for
 one last document. Pairs meet in groups of bounded size; each group leaves one fractional document,
-and those residuals meet in further rounds: a reduction tree over the cluster.
+and those residuals meet in further rounds: a reduction tree over the cluster, as high as each source needs.
+Some rounded documents go up with them: at a source's last level they are flipped to make up for the residual.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import WORD, Scratch, small
 
 #: Documents that one group of the reduction tree holds on average.
 GROUP = 4096
+#: Rounded documents that a group sends up at least; with few groups more, a group of the next level in all.
+CARRIED = 16
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +78,7 @@ def _pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[n
 def _settle(size: np.ndarray, p: np.ndarray, goal: float) -> np.ndarray:
     """Bring the sum of size * p, p all 0 or 1, nearer to the goal by single flips while one helps."""
     gap = goal - float(size @ p)
-    for _ in range(64):
+    while True:  # the gap shrinks with every flip
         after = np.abs(gap - np.where(p > 0, -size, size))
         j = int(np.argmin(after))
         if after[j] >= abs(gap):
@@ -85,21 +88,34 @@ def _settle(size: np.ndarray, p: np.ndarray, goal: float) -> np.ndarray:
     return p
 
 
-def _round_groups(rows: DataFrame, seed: int, last: bool) -> DataFrame:
-    """One level of the tree: every (source, group) is rounded; its residual has open = true."""
+def _carried(open_: np.ndarray, count: int) -> np.ndarray:
+    """Of the indexes, sorted by size, ``count`` spread evenly, the smallest document among them."""
+    return open_ if len(open_) <= count else open_[len(open_) - 1 - np.arange(count) * len(open_) // count]
+
+
+def _round_groups(rows: DataFrame, seed: int, group: int) -> DataFrame:
+    """One level of the tree: every (source, group) is rounded; what goes up, its residual and some others, has open = true.
+
+    A source with one group left is at its last level and is settled.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "tie"], kind="stable", ascending=[False, True]).reset_index(drop=True)
         rng = np.random.default_rng([seed, len(pdf), int(pdf["tie"].iloc[0]) & 0xFFFFFFFF])
         size, before = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float)
         p, rest = _pivot(size, before.copy(), rng)
-        if rest >= 0 and last:
-            p[rest] = float(p[rest] >= 0.5)
-            free = (before > 1e-12) & (before < 1 - 1e-12)
+        groups, free = int(pdf["groups"].iloc[0]), pdf["free"].to_numpy(bool)
+        last = groups <= 1
+        if last and free.any():
+            if rest >= 0:
+                p[rest] = float(p[rest] >= 0.5)
             p[free] = _settle(size[free], p[free], float(size[free] @ before[free]))
         pdf["p"], pdf["open"] = p, False
-        if rest >= 0 and not last:
-            pdf.loc[rest, "open"] = True
+        if not last:
+            count = max(CARRIED, group // min(groups, group)) // 2
+            rounded = free & (np.arange(len(p)) != rest)
+            up = [_carried(np.flatnonzero(rounded & (p == k)), count) for k in (0, 1)]
+            pdf.loc[np.concatenate([*up, [rest] if rest >= 0 else []]).astype(int), "open"] = True
         return pdf
 
     return rows.groupBy("source", "grp").applyInPandas(run, rows.schema)
@@ -110,7 +126,7 @@ def mix(df: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "s
 
     Returns one row a document: doc_id, size (words), source, source_size, target, copies and taken
     (copies times size). A source's taken words miss its target by less than half the size of its last
-    fractional document; what is missed is then made smaller by single documents of the last group. Null texts and
+    fractional document; what is missed is then made smaller by flips of single documents of its last level. Null texts and
     texts without words have size 0 and take 0 words; null sources are a source of their own, last in
     order; rows with the same id are rounded each for itself; an empty table gives no rows. The same
     rows give the same result whatever their order or partitioning, up to swaps between rows that are
@@ -125,22 +141,22 @@ def mix(df: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "s
     rows = sized.join(side, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumns({"base": F.floor(mean + 1e-12).cast("long"), "tie": F.xxhash64("doc_id", F.lit(seed))}).withColumn("p", F.greatest(mean - F.col("base"), F.lit(0.0)))
+    rows = rows.withColumn("free", (F.col("p") > 1e-12) & (F.col("p") < 1 - 1e-12))
     groups = F.greatest(F.ceil(F.col("n_docs") / group), F.lit(1))
-    cols = ["doc_id", "size", "source", "source_size", "target", "base", "tie", "p"]
-    level = rows.where("size > 0").select(*cols, F.pmod("tie", groups).alias("grp"), F.lit(False).alias("open"))
-    done = rows.where("size = 0").select(*cols, F.lit(0).cast("long").alias("grp"), F.lit(False).alias("open"))
+    cols = ["doc_id", "size", "source", "source_size", "target", "base", "tie", "p", "free"]
+    level = rows.where("size > 0").select(*cols, groups.cast("long").alias("groups"), F.pmod("tie", groups).alias("grp"), F.lit(False).alias("open"))
+    done = rows.where("size = 0").select(*cols, F.lit(1).cast("long").alias("groups"), F.lit(0).cast("long").alias("grp"), F.lit(False).alias("open"))
 
     widest = (goal.agg(F.max("n_docs")).first()[0] or 0) / group
     depth = 0
     while True:
-        last = widest <= 1
-        level = scratch.save(_round_groups(level, seed + depth, last), f"level{depth}")
+        level = scratch.save(_round_groups(level, seed + depth, group), f"level{depth}")
         done = done.union(level.where("not open"))
-        if last:
+        if widest <= 1:  # of the largest source; smaller ones are done
             break
         # Residuals of a source meet, `group` at a time.
         widest, depth = widest / group, depth + 1
-        level = level.where("open").withColumns({"grp": F.floor(F.col("grp") / group), "open": F.lit(False)})
+        level = level.where("open").withColumns({"grp": F.floor(F.col("grp") / group), "groups": F.ceil(F.col("groups") / group), "open": F.lit(False)})
     copies = F.col("base") + F.round("p").cast("long")
     return done.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
