@@ -23,6 +23,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a row's whole content, as two longs: rows with the same are the same in every column."""
+    cols = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    # A mark of nulls, as a null leaves a hash as it was.
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])
+    return F.xxhash64(nulls, *cols), F.xxhash64(F.lit(1), *cols, nulls)
+
+
 class Scratch:
     """Intermediate tables in the folder that driver and executors share.
 

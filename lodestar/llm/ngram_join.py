@@ -1,21 +1,20 @@
 """Self-join of documents on the Jaccard similarity of their word n-gram sets, by vertical partitioning.
 
-N-grams are 64-bit hashes, and their order is the global order. It is cut into fragments, and with it
-every document's set into segments.
+N-grams have one global order: those that a sample of documents shows to be frequent come last, the
+others go by their 64-bit hashes. The order cuts every set into a first fragment and the rest.
 
-Candidates: sets with similarity t or more differ in at most d = (|x|+|y|)(1-t)/(1+t) n-grams. With
-the order cut into d + 1 fragments, some segment is equal on both sides, so documents meet in a shuffle
-on (size class, fragment, hash of the segment). Within such a bucket every document is first paired
-with the bucket's leader only; pairs across components are made after those links are known.
-Verification: the order is cut into 16 fragments, partial overlaps are counted in each separately and
-summed per pair.
+Candidates: two sets of similarity t or more share an n-gram of their first fragments, which hold
+n - ceil(t n) + 1 n-grams. Documents meet in a shuffle on those n-grams, with their positions. In such
+a bucket every document is first paired with the bucket's leader only; pairs across components are made
+after those links are known.
+Verification: the range of hashes is cut into 16 fragments, partial overlaps are counted in each
+separately and summed per pair.
 
 Equal sets are one node throughout, whatever the number of copies.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -24,18 +23,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch, components, small
+from .common import Scratch, components, row_hashes, small, unused
 
-#: Ratio of the smallest to the largest size of a class of documents.
-CLASS_RATIO = 0.75
 #: Fragments that partial overlaps are counted in, as bits of the hash.
 FRAGMENT_BITS = 4
 #: Least document frequencies of the bands that bound overlaps; an n-gram of one document is in none.
 BANDS = (2, 4, 8, 16, 64, 256)
 #: Words that a worker's table of hashes keeps.
 WORDS_KEPT = 400_000
+#: Documents whose n-grams are counted for the global order, and most n-grams that it puts last.
+#: They decide how large buckets become, never what is linked.
+ORDER_DOCS, LATE = 10_000, 131_072
 
 
 class _Words(dict):
@@ -72,69 +71,84 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def class_of(n: int) -> int:
-    return int(math.log(n) / -math.log(CLASS_RATIO) + 1e-9)
+def _set_name(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two longs."""
+    h = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8")
+    return int(h[0]), int(h[1])
 
 
-def fragments_of(k: int, t: Fraction) -> int:
-    """Fragments for class k: one more than its largest pair can differ by."""
-    largest = math.ceil((1 / CLASS_RATIO) ** (k + 1))
-    return int(2 * largest * (1 - t) / (1 + t)) + 1
+def prefix_length(n: int, t: Fraction) -> int:
+    """N-grams of a set's first fragment; 0 where only an equal set reaches the threshold."""
+    return 0 if n < t / (1 - t) else n + 1 - -(-n * t.numerator // t.denominator)
 
 
-def signatures(s: np.ndarray, t: Fraction) -> list[tuple[int, np.ndarray]]:
-    """Per class that the document or a larger partner may be in: class, and a hash for each segment."""
-    n = len(s)
-    out = []
-    for k in range(class_of(n), class_of(max(n, n * t.denominator // t.numerator)) + 1):
-        f = fragments_of(k, t)
-        if f == 1:  # only equal sets reach the threshold, and those are one node already
-            continue
-        seg = (((s >> np.uint64(32)) * np.uint64(f)) >> np.uint64(32)).astype(np.int64)
-        h = np.zeros(f, dtype=np.uint64)
-        np.add.at(h, seg, _mixed(s))
-        out.append((k, _mixed(h + np.full(f, k, np.uint64) * _A + np.arange(f, dtype=np.uint64) * _B)))
-    return out
+def _index_length(n: Column, num: int, den: int) -> Column:
+    """As prefix_length for the smaller set of a pair, which must share 2t / (1 + t) of itself."""
+    return n + 1 - F.ceil(n * F.lit(2 * num) / F.lit(num + den) - 1e-9)
 
 
-def _node(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)))
+def _late(src: DataFrame, words: int, docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams in three documents or more of a sample: sorted hashes and how late they come (log2 of the count)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x, words).astype(np.int64))], ["g"])
+
+    n = src.count()
+    sample = src.select("text").sample(min(1.0, docs / n), seed=7) if n else src.select("text")
+    counts = sample.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("c")).where("c >= 3")
+    top = np.array([tuple(r) for r in counts.orderBy(F.desc("c"), "g").limit(size).collect()], dtype=np.int64).reshape(-1, 2)
+    top = top[np.argsort(top[:, 0].astype(np.uint64))]
+    return top[:, 0].astype(np.uint64), np.log2(top[:, 1]).astype(np.int64)
+
+
+def _in_order(s: np.ndarray, late: np.ndarray, when: np.ndarray) -> np.ndarray:
+    """The sorted hashes of a set in the global order."""
+    if not len(late) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
+    tier = np.where(late[at] == s, when[at], 0)
+    return s[np.argsort(tier, kind="stable")]
 
-def _sets(df: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
-    """doc_id, n (size of the set), node (name of the set, null if empty), sigs: (class, sig) of its segments."""
+
+def _sets(src: DataFrame, words: int, t: Fraction, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, ra and rb (hashes of the row), n (size of the set), ha and hb (name of the set), prefix: its first fragment."""
+    shared = src.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
         for b in batches:
-            ids, sizes, nodes, ks, sigs = b.column(0), [], [], [], []
-            for x in b.column(1).to_pylist():
-                s = shingles(x, n)
+            sizes, names, prefixes = [], [], []
+            for x in b.column(3).to_pylist():
+                s = shingles(x, words)
                 sizes.append(len(s))
-                nodes.append(_node(s) if len(s) else None)
-                sig = signatures(s, t) if len(s) else []
-                ks.append([k for k, h in sig for _ in range(len(h))])
-                sigs.append(np.concatenate([h for _, h in sig]).astype(np.int64) if sig else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(ks, pa.list_(pa.int16())), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n", "node", "ks", "sigs"])
+                names.append(_set_name(s))
+                prefixes.append(_in_order(s, *order)[: prefix_length(len(s), t)].astype(np.int64))
+            columns = [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([h[i] for h in names], pa.int64()) for i in (0, 1)), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ra", "rb", "n", "ha", "hb", "prefix"])
 
-    return df.mapInArrow(run, "doc_id long, n long, node long, ks array<short>, sigs array<long>")
+    return src.select("doc_id", "ra", "rb", "text").mapInArrow(run, "doc_id long, ra long, rb long, n long, ha long, hb long, prefix array<long>")
 
 
-def _segments(df: DataFrame, text: str, n: int) -> DataFrame:
-    """node, frag, seg: the hashes of the set that lie in a fragment."""
+def _segments(df: DataFrame, words: int) -> DataFrame:
+    """(node, text) -> node, frag, seg: the hashes of the set that lie in a fragment; repeated nodes once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             nodes, frags, segs = [], [], []
-            for x in b.column(1).to_pylist():
-                s = shingles(x, n)
-                if not len(s):
+            for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if node in done:
                     continue
-                node, f = _node(s), (s >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(f)) + 1
-                for part in np.split(np.arange(len(s)), cuts):
-                    nodes.append(node)
-                    frags.append(int(f[part[0]]))
-                    segs.append(s[part].astype(np.int64))
+                done.add(node)
+                s = shingles(x, words)
+                cuts = np.searchsorted(s, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS))
+                for f, part in enumerate(np.split(s, cuts)):
+                    if len(part):
+                        nodes.append(node)
+                        frags.append(f)
+                        segs.append(part.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(frags, pa.int16()), pa.array(segs, pa.list_(pa.int64()))], ["node", "frag", "seg"])
 
     return df.mapInArrow(run, "node long, frag short, seg array<long>")
@@ -154,85 +168,116 @@ def _verify(pairs: DataFrame, segs: DataFrame, num: int, den: int) -> DataFrame:
     return total.where(_enough(F.col("o"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
-def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """Documents whose shingle sets are linked by Jaccard similarity >= threshold; one row a document.
-
-    Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by links, itself
-    included. No link is missed. Null texts and texts without words have an empty set and link with
-    nothing; equal sets always link; rows of the same id are documents of their own; a null id is
-    never the smallest of others. An empty table gives no rows. Sets are told apart by 64-bit hashes.
-    """
+def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: str, id_: str) -> tuple[DataFrame, DataFrame]:
+    """docs (a row a document: doc_id, ra, rb, n, ha, hb) and nodes (a row a distinct set: ha, hb, root)."""
     t = Fraction(threshold)
     num, den = t.numerator, t.denominator
-    spark = df.sparkSession
-    scratch = Scratch(spark, "ngram")
-    src = df.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = scratch.save(_sets(src, text, words, t), "sets")
-
-    # Buckets with two nodes or more. Copies of a text give the same rows, so a bucket counts distinct nodes.
-    rows = docs.where("node is not null").select("node", "n", F.explode(F.arrays_zip("ks", "sigs")).alias("s")).select("node", "n", F.col("s.ks").alias("k"), F.col("s.sigs").alias("sig"))
-    w = Window.partitionBy("sig")
-    met = rows.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("lo < hi").select("sig", "k", "node", "n").distinct()
-    met = scratch.save(met, "buckets")
-
-    # A document must have as many shared segments as a pair of its size needs.
-    def may_differ(na: Column, nb: Column) -> Column:
-        return F.floor((na + nb) * (den - num) / (den + num) + 1e-9)
-
-    of_class = F.element_at(F.array(*[F.lit(fragments_of(k, t)) for k in range(70)]), F.col("k") + 1)
-    enough = met.groupBy("node", "n", "k").agg(F.count("*").alias("c")).where(F.col("c") >= of_class - may_differ(F.col("n"), F.floor(F.col("n") * den / num)))
-    met = met.join(enough.select("node", "k"), ["node", "k"])
-
-    # Only these need their sets at hand. Their n-grams by the number of documents among these that have them
-    # are fragments of another global order; the counts of two documents in each bound what they can share.
-    alive = met.select("node").distinct()
-    reps = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(alive, "node").select("doc_id").distinct()
-    segs = _segments(src.join(small(reps), "doc_id", "left_semi"), text, words)
+    ra, rb = row_hashes(df)
+    src = df.select(F.col(id_).cast("long").alias("doc_id"), ra.alias("ra"), rb.alias("rb"), F.col(text).cast("string").alias("text"))
+    docs = scratch.save(_sets(src, words, t, _late(src, words, ORDER_DOCS, LATE)), "sets")
+    # Copies meet in partial aggregates; the number of a row in the saved table names its set.
+    nodes = docs.where("n > 0").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("ra", "rb")).alias("row"))
+    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    # Buckets of two nodes or more, one of them with the n-gram among those that it must share as the smaller set.
+    rows = nodes.select("node", "n", "copies", F.posexplode("prefix").alias("pos", "g"))
+    indexed = F.col("pos") < _index_length(F.col("n"), num, den)
+    buckets = rows.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(indexed).alias("indexed")).where("lo < hi and indexed").select("g")
+    buckets = scratch.save(buckets, "grams")
+    met = scratch.save(rows.join(small(buckets), "g"), "met")
+
+    # Only these need their sets at hand. Their n-grams by the number of nodes among these that have them are
+    # fragments of another global order; the counts of two sets in each bound what they can share.
+    alive = scratch.save(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb")), "alive")
+    segs = _segments(src.join(small(alive), ["ra", "rb"]).select("node", "text"), words)
     segs = scratch.save(segs.dropDuplicates(["node", "frag"]), "segments")
     grams = segs.select("node", F.explode("seg").alias("g"))
     shared = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
     edges = [*BANDS, None]
     bands = [F.count_if((F.col("df") >= lo) & (F.col("df") < hi) if hi else F.col("df") >= lo).alias(f"c{i}") for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
     cs = [f"c{i}" for i in range(len(BANDS))]
-    met = met.join(shared.groupBy("node").agg(*bands), "node")
     most_shared = sum((F.col(c) for c in cs), F.lit(0))
-    met = scratch.save(met.where(_enough(most_shared, most_shared, F.col("n"), num, den)), "buckets")
-
-    def possible(na: Column, a: list[Column], nb: Column, b: list[Column]) -> Column:
-        """Whether the overlap can be large enough: in no band is it larger than the smaller count."""
-        return _enough(sum((F.least(x, y) for x, y in zip(a, b)), F.lit(0)), na, nb, num, den)
-
-    # First round: the leader of a bucket, the document with the smallest share of n-grams of its own.
-    alone = 1 - most_shared / F.col("n")
-    lead = met.withColumn("lead", F.min(F.struct(alone.alias("r"), "node", "n", *cs)).over(Window.partitionBy("sig")))
-    pairs = lead.where(F.col("node") != F.col("lead.node")).where(possible(F.col("n"), [F.col(c) for c in cs], F.col("lead.n"), [F.col(f"lead.{c}") for c in cs]))
-    pairs = pairs.select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    first = scratch.save(_verify(pairs, segs, num, den), "links")
+    met = scratch.save(met.join(shared.groupBy("node").agg(*bands), "node").where(_enough(most_shared, most_shared, F.col("n"), num, den)), "buckets")
+
+    def possible(a: str, b: str) -> Column:
+        """Whether two rows of a bucket, structs of that name, can be a pair: sizes, positions and counts by band."""
+        x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+        inside = [z("pos") < _index_length(z("n"), num, den) for z in (x, y)]
+        first = F.when(x("n") < y("n"), inside[0]).when(x("n") > y("n"), inside[1]).otherwise(inside[0] | inside[1])
+        by_position = F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1
+        by_band = sum((F.least(x(c), y(c)) for c in cs), F.lit(0))
+        return first & _enough(F.least(x("n"), y("n"), by_position, by_band), x("n"), y("n"), num, den)
+
+    def pairs(joined: DataFrame) -> DataFrame:
+        return joined.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).distinct()
+
+    # First round: the leader of a bucket, the set with most copies and, among equals, the smallest share of n-grams of its own.
+    fields = ["node", "n", "pos", *cs]
+    by_rank = F.struct((-F.col("copies")).alias("r"), (1 - most_shared / F.col("n")).alias("s"), *fields)
+    lead = met.groupBy("g").agg(F.min(by_rank).alias("x"))
+    led = met.select("g", F.struct(*fields).alias("y")).join(lead, "g").where((F.col("x.node") != F.col("y.node")) & possible("x", "y"))
+    first = scratch.save(_verify(scratch.save(pairs(led), "pairs"), segs, num, den), "links")
     roots = scratch.save(components(scratch, first), "roots")
 
-    # Second round: pairs of a bucket that no path joins yet. Documents of its most frequent component need
-    # no pairs among themselves, so they are on one side only.
+    # Second round: pairs of a bucket that no path joins yet, within reach of each other's size. Sets of a bucket's
+    # most frequent component need no pairs among themselves, so they are on one side only.
     at = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = at.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("sig", F.col("m.root").alias("major"))
-    at = scratch.save(at.join(most, "sig"), "open")
-    x = at.where("root <> major").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *[F.col(c).alias(f"x{c}") for c in cs])
-    y = at.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("major")).alias("big"), *[F.col(c).alias(f"y{c}") for c in cs])
-    can = possible(F.col("na"), [F.col(f"x{c}") for c in cs], F.col("nb"), [F.col(f"y{c}") for c in cs])
-    cross = x.join(y, "sig").where((F.col("ra") != F.col("rb")) & (F.col("big") | (F.col("a") < F.col("b"))) & can)
-    cross = cross.select("a", "na", "b", "nb").distinct()
-    second = scratch.save(_verify(cross, segs, num, den), "links")
+    most = at.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("g", F.col("m.root").alias("major"))
+    # Classes of sizes, each 1 / t times the one before: sets of a pair are in the same or in neighbours.
+    size_class = F.floor(F.log("n") / float(-np.log(num / den))).cast("int")
+    at = scratch.save(at.join(most, "g").withColumn("k", size_class), "open")
+    fields += ["root"]
+    x = at.where("root <> major").select("g", F.explode(F.array(*[F.col("k") + i for i in (-1, 0, 1)])).alias("k"), F.struct(*fields).alias("x"))
+    y = at.select("g", "k", (F.col("root") == F.col("major")).alias("big"), F.struct(*fields).alias("y"))
+    cross = x.join(y, ["g", "k"]).where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & possible("x", "y"))
+    second = scratch.save(_verify(scratch.save(pairs(cross), "pairs"), segs, num, den), "links")
     if second.limit(1).count():
         roots = scratch.save(components(scratch, first.union(second)), "roots")
+    for done in (buckets, met, alive, segs, at):
+        scratch.drop(done)
+    nodes = nodes.join(roots, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("root"))
+    return docs.drop("prefix"), nodes
 
-    # By node first, so that copies don't meet in one group; then each document looks up its node.
-    per = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = per.groupBy("root").agg(F.min("first").alias("least"))
-    known = per.join(least, "root").select("node", "least")
-    return docs.select("doc_id", "n", "node").join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
+def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """Documents whose shingle sets are linked by Jaccard similarity >= threshold (below 1); one row a document.
 
-def keep_one(df: DataFrame, **kw) -> DataFrame:
-    """The rows of one document, the smallest doc_id, of each group of linked documents."""
-    id_ = kw.get("id_", "doc_id")
-    gone = jaccard_components(df, **kw).where("component_id <> doc_id").select(F.col("doc_id").alias(id_)).distinct()
-    return df.join(small(gone), id_, "left_anti").select(*df.columns)
+    Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by links, itself
+    included. No link is missed. Null texts and texts without words have an empty set and link with
+    nothing; equal sets always link; rows of the same id, or without one, are documents of their own;
+    a null id is never the smallest of others. An empty table gives no rows. Sets are told apart by
+    128-bit hashes, their n-grams by 64-bit ones.
+    """
+    docs, nodes = _linked(Scratch(df.sparkSession, "ngram"), df.select(id_, text), threshold, words, text, id_)
+    # By set first, so that copies don't meet in one group; then each document looks up its set.
+    per = docs.where("n > 0").groupBy("ha", "hb").agg(F.min("doc_id").alias("first")).join(nodes, ["ha", "hb"])
+    known = per.join(per.groupBy("root").agg(F.min("first").alias("least")), "root").select("ha", "hb", "least")
+    out = docs.withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in ("ha", "hb")}).join(known, ["ha", "hb"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(df: DataFrame, threshold: str = "0.8", words: int = 5, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """One row of each group of linked documents, that of the smallest id; columns as they are.
+
+    Rows go by themselves and not by their id: of rows that share an id only those whose text is linked
+    with that of a kept row go, and so do rows without an id. Of wholly equal rows with words one stays;
+    of other rows with the same id and text the one with the smaller hash. Documents without words all stay.
+    """
+    scratch = Scratch(df.sparkSession, "keep")
+    docs, nodes = _linked(scratch, df, threshold, words, text, id_)
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "ra", "rb")
+    per = docs.where("n > 0").groupBy("ha", "hb").agg(F.min(rank).alias("first")).join(nodes, ["ha", "hb"])
+    known = per.join(per.groupBy("root").agg(F.min("first").alias("least")), "root").select("ha", "hb", F.col("least.ra").alias("la"), F.col("least.rb").alias("lb"))
+    # Each different row with how often it comes, and whether it is the one to keep.
+    each = docs.where("n > 0").groupBy("ha", "hb", "ra", "rb").agg(F.count("*").alias("c")).join(known, ["ha", "hb"])
+    stays = (F.col("ra") == F.col("la")) & (F.col("rb") == F.col("lb"))
+    each = scratch.save(each.select("ra", "rb", "c", stays.alias("stays")).where("not stays or c > 1"), "rows")
+    a, b = unused(df, "ra"), unused(df, "rb")
+    hashed = df.withColumns(dict(zip((a, b), row_hashes(df))))
+
+    def these(condition: str) -> DataFrame:
+        return small(each.where(condition).select(F.col("ra").alias(a), F.col("rb").alias(b)))
+
+    single = hashed.join(these("true"), [a, b], "left_anti")
+    repeated = hashed.join(these("stays"), [a, b], "left_semi").dropDuplicates([a, b])
+    return single.union(repeated).select(*df.columns)
