@@ -6,7 +6,7 @@ in pairs: word mass moves at random from one document to the other, in the direc
 one's expectation, until one is at 0 or 1. A pair's mass is kept, so a source's total is kept but for
 one last document. Pairs meet in groups of bounded size; each group leaves one fractional document,
 and those residuals meet in further rounds: a reduction tree over the cluster, as high as each source needs.
-Some rounded documents go up with them: at a source's last level they are flipped to make up for the residual.
+Some rounded documents go up with them: at a source's last level they are flipped, one or two at a time, to make up for the residual.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, small
+from .common import WORD, Scratch, row_hashes, small, unused
 
 #: Documents that one group of the reduction tree holds on average.
 GROUP = 4096
 #: Rounded documents that a group sends up at least; with few groups more, a group of the next level in all.
 CARRIED = 16
+#: Documents of a source's last level that settling starts from.
+STARTS = 32
+#: Equal rows that are rounded in one group.
+CHUNK = 256
 
 
 def word_count(text: Column) -> Column:
@@ -75,16 +79,44 @@ def _pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[n
     return p, rest
 
 
-def _settle(size: np.ndarray, p: np.ndarray, goal: float) -> np.ndarray:
-    """Bring the sum of size * p, p all 0 or 1, nearer to the goal by single flips while one helps."""
+def _descend(size: np.ndarray, p: np.ndarray, goal: float) -> np.ndarray:
+    """Bring the sum of size * p, p all 0 or 1, nearer to the goal by flips of one or two while one helps."""
     gap = goal - float(size @ p)
-    while True:  # the gap shrinks with every flip
-        after = np.abs(gap - np.where(p > 0, -size, size))
-        j = int(np.argmin(after))
-        if after[j] >= abs(gap):
+    while len(size):  # the gap shrinks with every step
+        change = np.where(p > 0, -size, size)
+        one = int(np.argmin(np.abs(gap - change)))
+        best, flips = abs(gap - change[one]), [one]
+        if len(size) > 1:
+            # For each document the best partner: the neighbours of what is then left, in sorted order.
+            order = np.argsort(change, kind="stable")
+            near = np.searchsorted(change[order], gap - change)
+            for step in (-1, 0):
+                other = order[np.clip(near + step, 0, len(order) - 1)]
+                left = np.abs(gap - change - change[other])
+                left[other == np.arange(len(size))] = np.inf
+                i = int(np.argmin(left))
+                if left[i] < best - 1e-9:
+                    best, flips = left[i], [i, int(other[i])]
+        if best >= abs(gap) - 1e-9:
+            break
+        gap -= float(change[flips].sum())
+        p[flips] = 1 - p[flips]
+    return p
+
+
+def _settle(size: np.ndarray, p: np.ndarray, goal: float) -> np.ndarray:
+    """_descend, also from beside where it ends: some documents, evenly spread by size, are flipped first and stay so."""
+    p = _descend(size, p, goal)
+    gap = abs(goal - float(size @ p))
+    by_size = np.argsort(-size, kind="stable")
+    for i in by_size[:: max(1, len(by_size) // STARTS)]:
+        if gap <= size.min() / 2:
             break
-        gap -= -size[j] if p[j] > 0 else size[j]
-        p[j] = 1 - p[j]
+        others, q = np.arange(len(p)) != i, p.copy()
+        q[i] = 1 - q[i]
+        q[others] = _descend(size[others], q[others], goal - size[i] * q[i])
+        if abs(goal - float(size @ q)) < gap - 1e-9:
+            p, gap = q, abs(goal - float(size @ q))
     return p
 
 
@@ -126,48 +158,65 @@ def mix(df: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "s
 
     Returns one row a document: doc_id, size (words), source, source_size, target, copies and taken
     (copies times size). A source's taken words miss its target by less than half the size of its last
-    fractional document; what is missed is then made smaller by flips of single documents of its last level. Null texts and
+    fractional document; what is missed is then made smaller by flips of documents of its last level. Null texts and
     texts without words have size 0 and take 0 words; null sources are a source of their own, last in
     order; rows with the same id are rounded each for itself; an empty table gives no rows. The same
     rows give the same result whatever their order or partitioning, up to swaps between rows that are
-    equal in id and size.
+    equal in id, size and source.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "mix")
-    sized = scratch.save(df.select(F.col(id_).cast("long").alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source")), "sized")
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sized = df.select(F.col(id_).cast("long").alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"))
+    return _mix(sized, ["doc_id"], weights, share, ceiling, seed, group)
+
+
+def _mix(sized: DataFrame, key: list[str], weights: tuple[float, ...], share: float, ceiling: float, seed: int, group: int) -> DataFrame:
+    """As mix() for rows (*key, size, source); rows that are equal in all of them are one another's stand-ins."""
+    scratch = Scratch(sized.sparkSession, "mix")
+    # Equal rows are counted and come back in chunks, so that however many there are they spread over groups.
+    sized = scratch.save(sized.groupBy(*key, "size", "source").agg(F.count("*").alias("rows")), "sized")
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n_docs"))
     goal = scratch.save(targets(per.drop("n_docs"), weights, share, ceiling).join(per.select(F.col("source").alias("s2"), "n_docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "targets")
     side = small(goal.select(F.col("source").alias("s2"), "source_size", "target", "n_docs"))
-    rows = sized.join(side, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
+    rows = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))))
+    rows = rows.withColumns({"rows": F.least(F.lit(CHUNK), F.col("rows") - CHUNK * F.col("chunk")).cast("long"), "tie": F.xxhash64(*key, "size", "chunk", F.lit(seed))})
+    rows = rows.join(side, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumns({"base": F.floor(mean + 1e-12).cast("long"), "tie": F.xxhash64("doc_id", F.lit(seed))}).withColumn("p", F.greatest(mean - F.col("base"), F.lit(0.0)))
+    rows = rows.withColumn("base", F.floor(mean + 1e-12).cast("long")).withColumn("p", F.greatest(mean - F.col("base"), F.lit(0.0)))
     rows = rows.withColumn("free", (F.col("p") > 1e-12) & (F.col("p") < 1 - 1e-12))
-    groups = F.greatest(F.ceil(F.col("n_docs") / group), F.lit(1))
-    cols = ["doc_id", "size", "source", "source_size", "target", "base", "tie", "p", "free"]
-    level = rows.where("size > 0").select(*cols, groups.cast("long").alias("groups"), F.pmod("tie", groups).alias("grp"), F.lit(False).alias("open"))
-    done = rows.where("size = 0").select(*cols, F.lit(1).cast("long").alias("groups"), F.lit(0).cast("long").alias("grp"), F.lit(False).alias("open"))
+    groups = F.greatest(F.ceil(F.col("n_docs") / group), F.lit(1)).cast("long")
+    rows = rows.withColumns({"groups": groups, "grp": F.pmod("tie", groups), "open": F.lit(False)}).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows", "chunk", "n_docs", "i")
+    level, done = rows.where("size > 0"), rows.where("size = 0")
 
     widest = (goal.agg(F.max("n_docs")).first()[0] or 0) / group
     depth = 0
     while True:
         level = scratch.save(_round_groups(level, seed + depth, group), f"level{depth}")
-        done = done.union(level.where("not open"))
+        done = done.unionByName(level.where("not open"))
         if widest <= 1:  # of the largest source; smaller ones are done
             break
         # Residuals of a source meet, `group` at a time.
         widest, depth = widest / group, depth + 1
         level = level.where("open").withColumns({"grp": F.floor(F.col("grp") / group), "groups": F.ceil(F.col("groups") / group), "open": F.lit(False)})
     copies = F.col("base") + F.round("p").cast("long")
-    return done.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select(*key, "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def apply_mix(df: DataFrame, **kw) -> DataFrame:
+def apply_mix(df: DataFrame, text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 17, group: int = GROUP) -> DataFrame:
     """The rows of ``df`` as often as mix() takes them; columns as they are.
 
-    Rows of equal id get the copies of their id in order of id and source; null ids stay as they are.
+    Every row has its own copies, whatever its id, also rows that share an id and those without one.
+    Wholly equal rows have their copies together. Rows without words aren't taken unless a whole copy is.
     """
-    id_ = kw.get("id_", "doc_id")
-    got = mix(df, **kw).groupBy("doc_id").agg(F.max("copies").alias("_copies")).select(F.col("doc_id").alias(id_), "_copies")
-    out = df.join(got, id_, "left")
-    n = F.coalesce("_copies", F.lit(1))
-    return out.where(n > 0).select(*df.columns, F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias("_k")).drop("_k")
+    a, b = unused(df, "ra"), unused(df, "rb")
+    hashed = df.withColumns(dict(zip((a, b), row_hashes(df))))
+    sized = hashed.select(F.col(a).alias("ra"), F.col(b).alias("rb"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"))
+    got = _mix(sized, ["ra", "rb"], weights, share, ceiling, seed, group)
+    n = unused(df, "copies")
+    got = Scratch(df.sparkSession, "apply").save(got.groupBy(F.col("ra").alias(a), F.col("rb").alias(b)).agg(F.count("*").alias("rows"), F.sum("copies").alias(n)), "copies")
+    repeated = small(got.where("rows > 1").select(a, b))
+    once = hashed.join(repeated, [a, b], "left_anti").unionByName(hashed.join(repeated, [a, b], "left_semi").dropDuplicates([a, b]))
+    out = once.join(got.drop("rows").where(F.col(n) > 0), [a, b])
+    # In two steps, so that no array grows with the number of equal rows.
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK)))
+    chunk = unused(df, "chunk")
+    out = out.withColumn(chunk, some).withColumn(chunk, F.explode(F.array_repeat(F.lit(0), F.least(F.lit(CHUNK), F.col(n) - CHUNK * F.col(chunk)).cast("int"))))
+    return out.select(*df.columns)

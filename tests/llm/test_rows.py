@@ -78,3 +78,27 @@ def test_one_passage_in_unrelated_short_documents(spark):
     rows = [(i, passage + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(12 + i % 9))) for i in range(50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert ngram_join.jaccard_components(df).where("component_id <> doc_id").count() == 0
+
+
+def test_apply_mix_gives_each_row_its_own_copies(spark):
+    # Shared and missing ids, wholly equal rows, and as many of them as fill several groups.
+    r = random.Random(3)
+    rows = [(r.choice([None, 7, i]), " ".join(["w"] * r.randint(1, 9)) + f" x{i}", r.choice(["a", "b", None]), "r", 2) for i in range(600)]
+    rows += [(5, "equal rows here", "c", "r", 2)] * 900 + [(None, None, "c", "r", 2)] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.apply_mix(df, group=100)
+    assert got.columns == df.columns
+    taken = collections.Counter(tuple(x) for x in got.collect())
+    times = collections.Counter(rows)
+    assert set(taken) <= set(times) and all(taken[x] <= 2 * times[x] for x in taken)
+    words = lambda t: len((t or "").split())
+    targets = {x.source: (x.target, x.source_size) for x in mixing.mix(df, group=100).select("source", "target", "source_size").distinct().collect()}
+    for s, (target, size) in targets.items():
+        assert sum(words(x[1]) * n for x, n in times.items() if x[2] == s) == size
+        assert abs(sum(words(x[1]) * n for x, n in taken.items() if x[2] == s) - target) <= 10
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    rows = [(None, "one two", "a")] * 5000 + [(1, "three", "a")] * 100
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), group=400).collect()
+    assert len(got) == 5100 and abs(sum(x.taken for x in got) - got[0].target) <= 2
