@@ -2,30 +2,35 @@
 
 Three masks of six tokens each - contiguous, with a gap of three and with a gap of six - are laid over
 benchmark items and documents; positions in the gaps are ignored. Twelve aligned tokens with at most
-two substitutions always have two intact blocks of three, so one of the masks hits. Seed hashes of the
-benchmark travel to the workers in blocks of a stated size and are joined there with the hashes of
-every document; around a hit the two texts are compared along its diagonal.
+two substitutions always have two intact blocks of three, so one of the masks hits. Items of three to
+eight tokens have a mask of three, shorter ones a mask of one. Seed hashes of the benchmark travel to
+the workers in blocks of a stated size and are joined there with the hashes of every document; around
+a hit the two texts are compared along its diagonal. What a block finds is a table of hits alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, row_hashes, small, unused
 
 # Token positions that the masks look at.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
+MASKS_SHORT, MASKS_TINY = ((0, 1, 2),), ((0,),)
+#: Items from so many tokens on have the masks of six, and from so many the mask of three.
+LONG, SHORT = 9, 3
 #: Aligned tokens that make an overlap, and substitutions allowed among them.
 WINDOW, SUBSTITUTIONS = 12, 2
 #: Benchmark tokens that are joined in one pass over the documents (about 50 MB on a worker).
 PASS_TOKENS = 1_000_000
+#: Hits that are looked at together.
+HITS = 1 << 17
 
 TOKEN = re.compile(r"\w+")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
@@ -53,47 +58,61 @@ def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarra
     return at, h
 
 
-@dataclass
 class Index:
-    """Seeds of a block of benchmark items: per mask sorted hashes with item number and position."""
-
-    vocabulary: dict[str, int]
-    items: list[np.ndarray]
-    item_ids: list[int]
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-    @classmethod
-    def build(cls, block: list[tuple[int, list[str]]]) -> Index:
-        vocabulary: dict[str, int] = {}
-        items = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in toks], dtype=np.int64) for _, toks in block]
-        tables = []
-        for mask in MASKS:
-            got = [seeds(x, mask) for x in items]
-            h = np.concatenate([g[1] for g in got])
-            order = np.argsort(h, kind="stable")
-            tables.append((h[order], np.concatenate([np.full(len(g[0]), i) for i, g in enumerate(got)])[order], np.concatenate([g[0] for g in got])[order]))
-        return cls(vocabulary, items, [i for i, _ in block], tables)
-
-    def overlaps(self, text: str | None) -> list[tuple[int, int]]:
-        """(item_id, most equal tokens in a window) of the items that the whole text overlaps with."""
+    """Seeds of a block of benchmark items, by mask.
+
+    A table has the distinct hashes, sorted; for each its entries, one an item that has it; for each entry
+    the positions in that item.
+    """
+
+    def __init__(self, block: list[tuple[int | None, list[str]]]):
+        self.item_ids = [i for i, _ in block]
+        self.vocabulary: dict[str, int] = {}
+        self.items = [np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in toks], dtype=np.int64) for _, toks in block]
+        self.tables = []
+        sizes = np.array([len(x) for x in self.items])
+        for masks, lo, hi in ((MASKS, LONG, np.inf), (MASKS_SHORT, SHORT, LONG), (MASKS_TINY, 1, SHORT)):
+            some = np.flatnonzero((sizes >= lo) & (sizes < hi))
+            for mask in masks if len(some) else ():
+                got = [seeds(self.items[i], mask) for i in some]
+                h, item, pos = np.concatenate([g[1] for g in got]), np.concatenate([np.full(len(g[0]), i) for i, g in zip(some, got)]), np.concatenate([g[0] for g in got])
+                if not len(h):
+                    continue
+                order = np.lexsort((pos, item, h))
+                h, item, pos = h[order], item[order], pos[order]
+                entry = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (item[1:] != item[:-1]))))
+                hashes, first = np.unique(h[entry], return_index=True)
+                self.tables.append((mask, hashes, np.append(first, len(entry)), item[entry], np.append(entry, len(pos)), pos))
+
+    def overlaps(self, text: str | None) -> list[tuple[int | None, int]]:
+        """(item_id, equal tokens of its best window on the first diagonal that is near enough) of the items that the whole text overlaps with."""
         toks = tokens(text)
-        if len(toks) < 6:
-            return []
         ids = np.fromiter((self.vocabulary.get(t, -1) for t in toks), dtype=np.int64, count=len(toks))
-        tried: set[tuple[int, int]] = set()
-        for mask, (hashes, item, pos) in zip(MASKS, self.tables):
+        found: dict[int, int] = {}
+        tried: set[int] = set()
+        for mask, hashes, first, item, start, pos in self.tables:
             at, h = seeds(ids, mask)
-            if not len(at) or not len(hashes):
-                continue
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for k in np.flatnonzero(lo < hi):
-                tried.update((int(item[j]), int(at[k] - pos[j])) for j in range(lo[k], hi[k]))
-        best: dict[int, int] = {}
-        for i, diagonal in tried:
-            n = self._equal(ids, self.items[i], diagonal)
-            if n:
-                best[i] = max(n, best.get(i, 0))
-        return sorted((self.item_ids[i], n) for i, n in best.items())
+            k = np.searchsorted(hashes, h)
+            hit = (k < len(hashes)) & (hashes[np.minimum(k, len(hashes) - 1)] == h)
+            at, k = at[hit], k[hit]
+            # Entries met by each position, then the positions of each entry, a bounded number at a time.
+            for lo, hi in _runs(first[k + 1] - first[k]):
+                who, entry = _expand(first[k[lo:hi]], first[k[lo:hi] + 1])
+                who += lo
+                counts = start[entry + 1] - start[entry]
+                for a, b in _runs(counts):
+                    new = np.array([int(i) not in found for i in item[entry[a:b]]])
+                    w, e = who[a:b][new], entry[a:b][new]
+                    j, place = _expand(start[e], start[e + 1])
+                    for key in np.unique((item[e[j]] << 40) + (at[w[j]] - pos[place]) + (1 << 39)).tolist():
+                        i, diagonal = key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+                        if i in found or key in tried:
+                            continue
+                        tried.add(key)
+                        n = self._equal(ids, self.items[i], diagonal)
+                        if n:
+                            found[i] = n
+        return [(self.item_ids[i], n) for i, n in sorted(found.items())]
 
     @staticmethod
     def _equal(ids: np.ndarray, item: np.ndarray, diagonal: int) -> int:
@@ -107,12 +126,29 @@ class Index:
         return n if n >= w - SUBSTITUTIONS * w // WINDOW else 0
 
 
-def _blocks(benchmark: DataFrame, text: str, id_: str) -> Iterator[list[tuple[int, list[str]]]]:
+def _runs(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices of the counts that sum to about HITS, one count at least."""
+    total = np.cumsum(counts)
+    lo = 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HITS, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges lo[i] up to hi[i]: i and the members, one range after another."""
+    n = hi - lo
+    who = np.repeat(np.arange(len(n)), n)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + lo[who]
+
+
+def _blocks(benchmark: DataFrame, text: str, id_: str) -> Iterator[list[tuple[int | None, list[str]]]]:
     """Items in blocks of about PASS_TOKENS tokens; the driver holds one block at a time."""
     block, n = [], 0
-    for r in benchmark.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(id_, text).toLocalIterator():
+    for r in benchmark.where(F.col(text).isNotNull()).select(F.col(id_).cast("long"), text).toLocalIterator():
         toks = tokens(r[1])
-        if len(toks) >= 6:
+        if toks:
             block.append((r[0], toks))
             n += len(toks)
         if n >= PASS_TOKENS:
@@ -122,33 +158,38 @@ def _blocks(benchmark: DataFrame, text: str, id_: str) -> Iterator[list[tuple[in
         yield block
 
 
-def _overlaps(index):
-    @F.pandas_udf("array<struct<item:long,equal:int>>")
-    def overlaps(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item": i, "equal": n} for i, n in index.value.overlaps(t)] for t in texts])
+def _hits(docs: DataFrame, index) -> DataFrame:
+    """(ra, rb, text) -> ra, rb, item, equal: a row a document and item that overlap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(ra, rb, i, n) for ra, rb, t in zip(b["ra"], b["rb"], b["text"]) for i, n in index.value.overlaps(t)]
+            out = pd.DataFrame(got, columns=["ra", "rb", "item", "equal"])
+            yield out.astype({"ra": "int64", "rb": "int64", "item": "Int64", "equal": "int64"})
 
-    return overlaps
+    return docs.mapInPandas(run, "ra long, rb long, item long, equal long")
 
 
 def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Adds bench_items (ids of overlapping items, ascending), bench_equal and contaminated to every row.
 
-    A document overlaps with an item if twelve aligned tokens (or a whole item of 6 to 11) differ in at
-    most two (in fewer for short items); bench_equal is the number of equal tokens in the best window.
-    Case and punctuation don't count. Items of fewer than six tokens are too short to be evidence and
-    match nothing. Null texts overlap with nothing, nor does anything with an empty benchmark; all rows
-    stay, repeated ones too; columns named as ours are replaced. Texts are compared whole.
+    A document overlaps with an item if twelve aligned tokens differ in at most two, or a whole item of 6
+    to 11 in at most one, or a whole shorter item in none; bench_equal is the number of equal tokens in
+    such a window, the most of all items. Case and punctuation don't count. An item without an id
+    contaminates too but isn't named; items without tokens match nothing. Null texts overlap with nothing,
+    nor does anything with an empty benchmark; all rows stay, repeated ones too; columns named as ours are
+    replaced. Texts are compared whole. Each block of a large benchmark takes a pass over the texts.
     """
     spark = df.sparkSession
     df = df.drop("bench_items", "bench_equal", "contaminated")
-    columns = df.columns
     scratch = Scratch(spark, "bench")
-    none = F.array().cast("array<struct<item:long,equal:int>>")
-    out = df.withColumn("_b", none)
-    for k, block in enumerate(_blocks(benchmark, item_text, item_id)):
-        if k:  # a pass of its own for every further block
-            out = scratch.save(out, f"pass{k}")
-        out = out.withColumn("_b", F.concat("_b", _overlaps(spark.sparkContext.broadcast(Index.build(block)))(F.col(text))))
-    return out.select(
-        *columns, F.array_sort(F.array_distinct(F.transform("_b", lambda x: x["item"]))).alias("bench_items"), F.coalesce(F.array_max(F.transform("_b", lambda x: x["equal"])), F.lit(0)).alias("bench_equal"), (F.size("_b") > 0).alias("contaminated")
-    )
+    ra, rb = row_hashes(df)
+    docs = df.select(ra.alias("ra"), rb.alias("rb"), F.col(text).cast("string").alias("text"))
+    hits = spark.createDataFrame([], "ra long, rb long, item long, equal long")
+    for block in _blocks(benchmark, item_text, item_id):
+        hits = hits.union(scratch.save(_hits(docs, spark.sparkContext.broadcast(Index(block))), "hits"))
+    a, b, items, equal = (unused(df, x) for x in ("ra", "rb", "items", "equal"))
+    each = hits.groupBy(F.col("ra").alias(a), F.col("rb").alias(b)).agg(F.sort_array(F.collect_set("item")).alias(items), F.max("equal").alias(equal))
+    each = scratch.save(each, "overlaps")
+    out = df.withColumns({a: ra, b: rb}).join(small(each), [a, b], "left")
+    return out.select(*df.columns, F.coalesce(items, F.array().cast("array<bigint>")).alias("bench_items"), F.coalesce(equal, F.lit(0)).cast("int").alias("bench_equal"), F.col(equal).isNotNull().alias("contaminated"))

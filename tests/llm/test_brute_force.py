@@ -140,14 +140,66 @@ def test_decontamination(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("contaminated", F.lit(1))
     bench = spark.createDataFrame([(5, ITEM), (6, "Alpha beta, gamma delta epsilon zeta"), (7, None), (8, ""), (9, "too short"), (None, ITEM)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.find_overlaps(df, bench).collect()}
+    # 13 has all but the last of six tokens in a row, which is no whole item.
     assert {i for i, r in got.items() if r.contaminated} == {1, 2, 3, 6, 11, 12}
     assert got[1].bench_items == [5] and got[1].bench_equal == 12 and got[12].bench_items == [6]
     assert decontaminate.find_overlaps(df, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.find_overlaps(df, bench.where("item_id is null")).where("contaminated and size(bench_items) = 0").count() == 5
+    # Repeated rows, an empty table and names that clash.
+    twice = df.union(df).withColumns({c: F.lit("own") for c in ("ra", "rb", "items", "equal", "_b")})
+    rows = decontaminate.find_overlaps(twice, bench).collect()
+    assert len(rows) == 2 * len(texts) and sum(r.contaminated for r in rows) == 12 and {(r.ra, r.rb, r.items, r.equal, r._b) for r in rows} == {("own",) * 5}
+    assert decontaminate.find_overlaps(twice.limit(0), bench).count() == 0
+
+
+def plain_overlaps(text, items):
+    """Items that some alignment is near enough to, by trying all of them."""
+    words, out = re.findall(r"\w+", (text or "").lower()), set()
+    for i, item in items:
+        other = re.findall(r"\w+", (item or "").lower())
+        w = min(12, len(other))
+        for at in range(len(words) - w + 1):
+            for start in range(len(other) - w + 1):
+                if w and sum(x == y for x, y in zip(words[at : at + w], other[start : start + w])) >= w - 2 * w // 12:
+                    out.add(i)
+    return out
+
+
+def test_overlaps_against_brute_force():
+    r = random.Random(2)
+    for _ in range(150):
+        few = [f"v{k}" for k in range(r.choice([3, 8, 40]))]
+        items = [(i, " ".join(r.choices(few, k=r.randint(1, 20)))) for i in range(6)]
+        words = r.choices(few, k=r.randint(0, 60))
+        item = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 3)):
+            item[r.randrange(len(item))] = "zz"
+        text = " ".join([*words[:20], *item, *words[20:]])
+        index = decontaminate.Index([(i, decontaminate.tokens(t)) for i, t in items])
+        assert {i for i, _ in index.overlaps(text)} == plain_overlaps(text, items), (text, items)
+
+
+@pytest.mark.parametrize("n", range(1, 16))
+def test_every_length_and_allowed_substitution_is_found(n):
+    words = [f"w{i}" for i in range(n)]
+    index = decontaminate.Index([(1, words)])
+    for at in itertools.combinations(range(n), 2 * min(n, 12) // 12):
+        text = " ".join("zz" if i in at else w for i, w in enumerate(words))
+        assert [i for i, _ in index.overlaps(f"before it {text} after it")] == [1], (n, at)
+
+
+def test_repetitive_texts_are_not_quadratic():
+    import time
+
+    index = decontaminate.Index([(1, ["na"] * 2000)])
+    began = time.perf_counter()
+    assert index.overlaps("na " * 3000) == [(1, 12)]
+    assert time.perf_counter() - began < 1
 
 
 def test_any_two_substitutions_are_found():
     words = [f"w{i}" for i in range(12)]
-    index = decontaminate.Index.build([(1, words)])
+    index = decontaminate.Index([(1, words)])
     for at in itertools.combinations(range(12), 2):
         text = " ".join("zz" if i in at else w for i, w in enumerate(words))
         assert index.overlaps(f"before it {text} after it") == [(1, 10)]
