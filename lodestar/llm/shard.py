@@ -1,29 +1,30 @@
 """Sharding by histogram sort.
 
 Rows are ordered by a 63-bit key: the CRC-32 of the text above 31 bits of a hash of the id, so that
-equal texts are neighbours yet a group of copies of any size can be cut. Boundaries between parts are
-found by counting exact bytes below candidate keys: each round splits the bracket around every
-unsettled boundary into 4096 probes, in one aggregate over keys and sizes, until the boundary is
-within tolerance of its target or its bracket holds a single key. Then rows are exchanged once.
+equal texts are neighbours yet a group of copies of any size can be cut. Boundaries between shards are
+found by counting exact bytes below candidate keys: each round splits the brackets around unsettled
+boundaries into probes, in one aggregate over keys and sizes, until a boundary is within tolerance of
+its target or its bracket holds a single key. Then rows are exchanged once, by shard and key prefix:
+prefixes are long enough that none holds more than a task can sort, and no task holds a whole shard.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from math import ceil
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, small
+from ..functions.search import cuts_below
+from .common import Scratch, small, unused
 
-#: Bits of the key that a round of probes resolves.
-STEP = 12
-#: Bits of the whole key; a multiple of STEP above 63 rounds up.
+#: Probes of a round, over all open brackets (twice as many at most), and bits that a round resolves at most.
+PROBES, STEP = 65_536, 12
+#: Bits of the whole key.
 BITS = 63
+#: Prefixes of the key that may be too heavy at one length; a part is made larger rather than have more.
+HEAVY = 500_000
 
 
 def text_size(text: Column) -> Column:
@@ -39,7 +40,7 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
     """``parts - 1`` ascending keys: part i holds the keys from splitter i-1 up to, not including, splitter i.
 
     ``keys`` has key and size. What the driver gets a round is one sum per probe that holds rows, in
-    the brackets of unsettled boundaries: at most 4096 x parts numbers, whatever the number of rows.
+    the brackets of unsettled boundaries: about PROBES numbers, whatever the number of rows.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
     goals = [total * i / parts for i in range(1, parts)]
@@ -49,7 +50,7 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
     open_ = {0: (0, list(range(parts - 1)))}
     shift = BITS
     while open_ and total:
-        width = min(STEP, shift)
+        width = min(STEP, shift, max(1, (PROBES // len(open_)).bit_length() - 1))
         shift -= width
         inside = keys if shift + width >= BITS else keys.where(F.shiftright("key", shift + width).isin(*open_))
         sums: dict[int, list[tuple[int, int]]] = {}
@@ -73,58 +74,59 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
     return sorted(min(found[i], (1 << BITS) - 1) for i in range(parts - 1)) if total else []
 
 
-def _part_of(key: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below the key, by binary search."""
-    if len(cuts) > 1024:
-        at = np.array(cuts, dtype=np.int64)
+def _leaves(scratch: Scratch, keys: DataFrame, total: int, part_bytes: int):
+    """A function that adds to rows the first key of the prefix that they are sorted in.
 
-        @F.pandas_udf("int")
-        def search(k: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(at, k.to_numpy(), side="right").astype("int32"))
-
-        return search(key)
-
-    def among(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < cuts[mid], among(lo, mid)).otherwise(among(mid + 1, hi))
-
-    return among(0, len(cuts))
+    Prefixes are as long as evenly spread keys need; those of more than ``part_bytes`` are cut further,
+    round by round. Heavy prefixes are at most HEAVY a round, by their weight, so they are broadcast.
+    """
+    limit = max(part_bytes, total // HEAVY)
+    shift = BITS - min(BITS, (4 * total // limit).bit_length())
+    levels = []
+
+    def add(rows: DataFrame, key: str, name: str) -> DataFrame:
+        first = lambda by: F.shiftleft(F.shiftright(key, by), by)
+        rows = rows.withColumn(name, first(start))
+        for by, heavy in levels:
+            h = unused(rows, "heavy")
+            rows = rows.join(F.broadcast(heavy.withColumnRenamed("leaf", h)), F.col(name) == F.col(h), "left").withColumn(name, F.when(F.col(h).isNotNull(), first(by)).otherwise(F.col(name))).drop(h)
+        return rows
+
+    start = shift
+    while shift:
+        shift = max(0, shift - STEP)
+        heavy = scratch.save(add(keys, "key", "leaf").groupBy("leaf").agg(F.sum("size").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).where((F.col("b") > limit) & (F.col("lo") < F.col("hi"))).select("leaf"), "heavy")
+        if not heavy.limit(1).count():
+            break
+        levels.append((shift, heavy))
+    return add
 
 
 def shard(df: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_id", part_bytes: int = 128 << 20, tolerance: float = 0.001) -> DataFrame:
     """Deal rows into shards of near equal bytes; adds size, text_crc32, law, shard, slot and grown_shard.
 
     Law ``bytes``: each shard's sizes sum to within ``tolerance`` of a shard on either side of equal,
-    or as near as the cut between two rows allows. A shard is sorted by key in parts of about
+    or as near as the cut between two rows allows. A shard is sorted by key in parts of at most about
     ``part_bytes``, so no task holds a whole shard; slots are gapless from 0 in key order. Equal texts
     share a shard unless a boundary falls inside their group. Null texts have size 1 and CRC 0; null
     ids hash as nulls; rows with the same text and id have the same key and stay together. An empty
     table gives an empty result. Columns named as ours are replaced.
     """
     df = df.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    scratch = Scratch(df.sparkSession, "shard")
     # The checksum comes before the exchange, so that a query without the text doesn't carry it along.
     crc = F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long")
-    keyed = df.withColumns({"size": text_size(F.col(text)), "text_crc32": crc, "_key": sort_key(F.col(text), F.col(id_))})
+    key, leaf, before = unused(df, "key"), unused(df, "leaf"), unused(df, "before")
+    keyed = df.withColumns({"size": text_size(F.col(text)), "text_crc32": crc, key: sort_key(F.col(text), F.col(id_))})
     # Keys and sizes only, kept as a table, so that probing reads no text.
-    spark = df.sparkSession
-    keys = Scratch(spark, "shard").save(keyed.select(F.col("_key").alias("key"), "size"), "keys")
+    keys = scratch.save(keyed.select(F.col(key).alias("key"), "size"), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    per_shard = max(1, ceil(total / shards / part_bytes))
-    cuts = splitters(keys, shards * per_shard, tolerance / per_shard)
-    at = _part_of(F.col("_key"), cuts)
-    n_in = {r[0]: r[1] for r in keys.withColumnRenamed("key", "_key").groupBy(at.alias("_part")).count().collect()}
-    offsets, before = [], 0
-    for p in range(shards * per_shard):
-        before = 0 if p % per_shard == 0 else before
-        offsets.append((p, before))
-        before += n_in.get(p, 0)
-    offsets = small(spark.createDataFrame(offsets, "_part int, _offset long"))
-    w = Window.partitionBy("_part").orderBy("_key", id_)
-    out = keyed.withColumn("_part", at).withColumn("_n", F.row_number().over(w).cast("long") - 1)
-    out = out.join(offsets, "_part").withColumn("slot", F.col("_n") + F.col("_offset"))
-    return out.select(
-        *df.columns, "size", "text_crc32", F.lit("bytes").alias("law"),
-        F.floor(F.col("_part") / per_shard).cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    cuts = splitters(keys, shards, tolerance)
+    add = _leaves(scratch, keys, total, part_bytes)
+    parts = add(keys, "key", "leaf").groupBy(cuts_below(F.col("key"), cuts).alias("shard"), "leaf").count()
+    rows_before = F.sum("count").over(Window.partitionBy("shard").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1))
+    parts = scratch.save(parts.select("shard", F.col("leaf").alias(leaf), F.coalesce(rows_before, F.lit(0)).alias(before)), "parts")
+    rows = add(keyed, key, leaf).withColumn("shard", cuts_below(F.col(key), cuts))
+    w = Window.partitionBy("shard", leaf).orderBy(key, id_)
+    out = rows.join(small(parts), ["shard", leaf]).withColumn("slot", F.row_number().over(w).cast("long") - 1 + F.col(before))
+    return out.select(*df.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

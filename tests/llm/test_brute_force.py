@@ -243,6 +243,11 @@ def test_sharding(spark, documents):
 def test_sharding_cuts_a_group_of_copies(spark):
     df = spark.createDataFrame([(i, "copy of one text") for i in range(1000)] + [(1000 + i, prose(5, i)) for i in range(300)], "doc_id long, text string")
     check_shards(shard.shard(df).collect())
+    # Prefixes of the key that are too heavy are cut further; the order is the same.
+    assert sorted((r.doc_id, r.shard, r.slot) for r in shard.shard(df, part_bytes=300).collect()) == sorted((r.doc_id, r.shard, r.slot) for r in shard.shard(df).collect())
+    own = shard.shard(df.withColumns({c: F.lit("own") for c in ("key", "leaf", "before", "heavy", "_part")}), part_bytes=300)
+    check_shards(own.collect())
+    assert own.where("key = 'own' and leaf = 'own' and before = 'own' and heavy = 'own'").count() == 1300
 
 
 def test_sharding_odd(spark, odd, empty):
