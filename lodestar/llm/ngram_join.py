@@ -4,9 +4,9 @@ N-grams have one global order: those that a sample of documents shows to be freq
 others go by their 64-bit hashes. The order cuts every set into a first fragment and the rest.
 
 Candidates: two sets of similarity t or more share an n-gram of their first fragments, which hold
-n - ceil(t n) + 1 n-grams. Documents meet in a shuffle on those n-grams, with their positions. In such
-a bucket every document is first paired with the bucket's leader only; pairs across components are made
-after those links are known.
+n - ceil(t n) + 1 n-grams. Documents meet in a shuffle on those n-grams, and the overlap of two first
+fragments, counted there, bounds what two sets can share. A document is first paired with one leader of
+its buckets only; pairs across components are made after those links are known.
 Verification: the range of hashes is cut into 16 fragments, partial overlaps are counted in each
 separately and summed per pair.
 
@@ -28,6 +28,8 @@ from .common import Scratch, components, row_hashes, small, unused
 
 #: Fragments that partial overlaps are counted in, as bits of the hash.
 FRAGMENT_BITS = 4
+#: Rows of a bucket from which on overlaps are bounded by document frequencies too before its pairs are made.
+BUCKET = 512
 #: Least document frequencies of the bands that bound overlaps; an n-gram of one document is in none.
 BANDS = (2, 4, 8, 16, 64, 256)
 #: Words that a worker's table of hashes keeps.
@@ -103,55 +105,56 @@ def _late(src: DataFrame, words: int, docs: int, size: int) -> tuple[np.ndarray,
     return top[:, 0].astype(np.uint64), np.log2(top[:, 1]).astype(np.int64)
 
 
-def _in_order(s: np.ndarray, late: np.ndarray, when: np.ndarray) -> np.ndarray:
-    """The sorted hashes of a set in the global order."""
-    if not len(late) or not len(s):
-        return s
-    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-    tier = np.where(late[at] == s, when[at], 0)
-    return s[np.argsort(tier, kind="stable")]
+def _in_order(s: np.ndarray, k: int, late: np.ndarray, when: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first k hashes of a set in the global order, as longs that sort as the hashes do, and the last one's tier."""
+    tier = 0
+    if len(late) and k:
+        at = np.minimum(np.searchsorted(late, s), len(late) - 1)
+        tiers = np.where(late[at] == s, when[at], 0)
+        order = np.argsort(tiers, kind="stable")[:k]
+        s, tier = s[order], int(tiers[order[-1]])
+    return (s[:k] ^ np.uint64(1 << 63)).astype(np.int64), tier
 
 
 def _sets(src: DataFrame, words: int, t: Fraction, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, ra and rb (hashes of the row), n (size of the set), ha and hb (name of the set), prefix: its first fragment."""
+    """doc_id, ra and rb (hashes of the row), n (size of the set), ha and hb (name of the set), prefix: its first fragment, tier: that of the prefix' last."""
     shared = src.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
-            sizes, names, prefixes = [], [], []
+            sizes, names, prefixes, tiers = [], [], [], []
             for x in b.column(3).to_pylist():
                 s = shingles(x, words)
                 sizes.append(len(s))
                 names.append(_set_name(s))
-                prefixes.append(_in_order(s, *order)[: prefix_length(len(s), t)].astype(np.int64))
-            columns = [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([h[i] for h in names], pa.int64()) for i in (0, 1)), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ra", "rb", "n", "ha", "hb", "prefix"])
+                first, tier = _in_order(s, prefix_length(len(s), t), *order)
+                prefixes.append(first)
+                tiers.append(tier)
+            columns = [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([h[i] for h in names], pa.int64()) for i in (0, 1)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(tiers, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ra", "rb", "n", "ha", "hb", "prefix", "tier"])
 
-    return src.select("doc_id", "ra", "rb", "text").mapInArrow(run, "doc_id long, ra long, rb long, n long, ha long, hb long, prefix array<long>")
+    return src.select("doc_id", "ra", "rb", "text").mapInArrow(run, "doc_id long, ra long, rb long, n long, ha long, hb long, prefix array<long>, tier long")
 
 
 def _segments(df: DataFrame, words: int) -> DataFrame:
-    """(node, text) -> node, frag, seg: the hashes of the set that lie in a fragment; repeated nodes once a task."""
+    """(a, b, text) -> a, b, frag, seg: the hashes of the text's set that lie in a fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for b in batches:
-            nodes, frags, segs = [], [], []
-            for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if node in done:
-                    continue
-                done.add(node)
-                s = shingles(x, words)
-                cuts = np.searchsorted(s, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS))
-                for f, part in enumerate(np.split(s, cuts)):
-                    if len(part):
-                        nodes.append(node)
-                        frags.append(f)
-                        segs.append(part.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(frags, pa.int16()), pa.array(segs, pa.list_(pa.int64()))], ["node", "frag", "seg"])
-
-    return df.mapInArrow(run, "node long, frag short, seg array<long>")
+        last, parts = None, []
+        for batch in batches:
+            out = ([], [], [], [])
+            for a, b, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if x != last:  # pairs of one text follow one another
+                    s = shingles(x, words)
+                    cuts = np.searchsorted(s, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS))
+                    last, parts = x, [(f, part.astype(np.int64)) for f, part in enumerate(np.split(s, cuts)) if len(part)]
+                for f, part in parts:
+                    for column, v in zip(out, (a, b, f, part)):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int16()), pa.array(out[3], pa.list_(pa.int64()))], ["a", "b", "frag", "seg"])
+
+    return df.mapInArrow(run, "a long, b long, frag short, seg array<long>")
 
 
 def _enough(overlap: Column, na: Column, nb: Column, num: int, den: int) -> Column:
@@ -159,13 +162,37 @@ def _enough(overlap: Column, na: Column, nb: Column, num: int, den: int) -> Colu
     return den * overlap >= num * (na + nb - overlap)
 
 
-def _verify(pairs: DataFrame, segs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, na, b, nb) that reach the threshold; partial overlaps by fragment, summed per pair."""
-    left = pairs.join(segs.select(F.col("node").alias("a"), "frag", F.col("seg").alias("x")), "a")
-    both = left.join(segs.select(F.col("node").alias("b"), "frag", F.col("seg").alias("y")), ["b", "frag"])
-    part = both.select("a", "na", "b", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("o"))
-    total = part.groupBy("a", "na", "b", "nb").agg(F.sum("o").alias("o"))
-    return total.where(_enough(F.col("o"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
+def _verify(pairs: DataFrame, info: DataFrame, src: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, na, b, nb), a saved table, that reach the threshold; partial overlaps by fragment, summed per pair.
+
+    The sets are made anew from the texts: that of b travels to a's, once a pair.
+    """
+    rows = info.select("node", "ra", "rb")
+
+    def sets(need: DataFrame) -> DataFrame:
+        return _segments(src.join(small(need), ["ra", "rb"]).select("a", "b", "text"), words)
+
+    right = sets(pairs.select("a", "b").join(small(rows), F.col("b") == F.col("node")).select("a", "b", "ra", "rb"))
+    left = sets(pairs.select("a").distinct().join(small(rows), F.col("a") == F.col("node")).select("a", F.col("a").alias("b"), "ra", "rb")).select("a", "frag", F.col("seg").alias("x"))
+    part = right.join(left, ["a", "frag"]).select("a", "b", "frag", F.size(F.array_intersect("x", "seg")).cast("long").alias("o"))
+    # Rows that come repeatedly give the same overlap again.
+    total = part.groupBy("a", "b", "frag").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))
+    return total.join(pairs, ["a", "b"]).where(_enough(F.col("o"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
+
+
+def _banded(big: DataFrame, info: DataFrame, src: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Rows of large buckets with bands, how many n-grams of each document frequency a set has; sets of too many n-grams of their own go.
+
+    Frequencies are counted among the sets of these rows. In no band can two sets share more than the smaller count.
+    """
+    need = big.select("node").distinct().join(info, "node").select(F.col("node").alias("a"), F.col("node").alias("b"), "ra", "rb")
+    grams = _segments(src.join(small(need), ["ra", "rb"]).select("a", "b", "text"), words).select(F.col("a").alias("node"), F.explode("seg").alias("g")).distinct()
+    shared = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
+    edges = [*BANDS, None]
+    bands = F.array(*[F.count_if((F.col("df") >= lo) & (F.col("df") < hi) if hi else F.col("df") >= lo) for lo, hi in zip(edges, edges[1:])])
+    out = big.join(shared.groupBy("node").agg(bands.alias("bands")), "node")
+    most = F.aggregate("bands", F.lit(0).cast("long"), lambda x, y: x + y)
+    return out.where(_enough(most, most, F.col("n"), num, den))
 
 
 def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: str, id_: str) -> tuple[DataFrame, DataFrame]:
@@ -176,67 +203,81 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     src = df.select(F.col(id_).cast("long").alias("doc_id"), ra.alias("ra"), rb.alias("rb"), F.col(text).cast("string").alias("text"))
     docs = scratch.save(_sets(src, words, t, _late(src, words, ORDER_DOCS, LATE)), "sets")
     # Copies meet in partial aggregates; the number of a row in the saved table names its set.
-    nodes = docs.where("n > 0").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("ra", "rb")).alias("row"))
+    nodes = docs.where("n > 0").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tier").alias("tier"), F.min(F.struct("ra", "rb")).alias("row"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    # Buckets of two nodes or more, one of them with the n-gram among those that it must share as the smaller set.
-    rows = nodes.select("node", "n", "copies", F.posexplode("prefix").alias("pos", "g"))
-    indexed = F.col("pos") < _index_length(F.col("n"), num, den)
-    buckets = rows.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(indexed).alias("indexed")).where("lo < hi and indexed").select("g")
-    buckets = scratch.save(buckets, "grams")
+    # Buckets of two nodes or more.
+    rows = nodes.select("node", F.posexplode("prefix").alias("pos", "g"))
+    buckets = scratch.save(rows.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("g"), "grams")
     met = scratch.save(rows.join(small(buckets), "g"), "met")
+    # Of each node in a bucket: k n-grams of its first fragment, own of which no other first fragment has, and where it ends.
+    info = nodes.join(met.groupBy("node").agg(F.count("*").alias("m")), "node")
+    info = info.select("node", "n", "copies", F.size("prefix").alias("k"), (F.size("prefix") - F.col("m")).alias("own"), F.struct("tier", F.element_at("prefix", -1)).alias("end"), F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb"))
+    info = scratch.save(info, "info")
+    rank = F.struct((-F.col("copies")).alias("r"), F.floor(1000 * F.col("own") / F.col("n")).alias("s"), "node")
+    met = scratch.save(met.join(small(info.select("node", "n", "own", "end", rank.alias("rank"))), "node"), "ranked")
+
+    def bounded(a: str, b: str, k: str | None, common: Column | int) -> Column:
+        """Whether two structs of a set can be a pair, with ``common`` n-grams of k in both first fragments (or ``own`` in one only).
+
+        Of the first fragment that ends first, n-grams that the other first fragment lacks are lacking in the other set.
+        """
+        x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+        lacks = [z(k) - common if k else z("own") for z in (x, y)]
+        most = F.when(x("end") <= y("end"), x("n") - lacks[0]).otherwise(y("n") - lacks[1])
+        return _enough(F.least(most, x("n"), y("n")), x("n"), y("n"), num, den)
 
-    # Only these need their sets at hand. Their n-grams by the number of nodes among these that have them are
-    # fragments of another global order; the counts of two sets in each bound what they can share.
-    alive = scratch.save(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb")), "alive")
-    segs = _segments(src.join(small(alive), ["ra", "rb"]).select("node", "text"), words)
-    segs = scratch.save(segs.dropDuplicates(["node", "frag"]), "segments")
-    grams = segs.select("node", F.explode("seg").alias("g"))
-    shared = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
-    edges = [*BANDS, None]
-    bands = [F.count_if((F.col("df") >= lo) & (F.col("df") < hi) if hi else F.col("df") >= lo).alias(f"c{i}") for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    cs = [f"c{i}" for i in range(len(BANDS))]
-    most_shared = sum((F.col(c) for c in cs), F.lit(0))
-    met = scratch.save(met.join(shared.groupBy("node").agg(*bands), "node").where(_enough(most_shared, most_shared, F.col("n"), num, den)), "buckets")
-
-    def possible(a: str, b: str) -> Column:
-        """Whether two rows of a bucket, structs of that name, can be a pair: sizes, positions and counts by band."""
+    def in_index(a: str, b: str) -> Column:
+        """Whether the n-gram of a bucket is among those of which the smaller set of a pair must share one."""
         x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
         inside = [z("pos") < _index_length(z("n"), num, den) for z in (x, y)]
-        first = F.when(x("n") < y("n"), inside[0]).when(x("n") > y("n"), inside[1]).otherwise(inside[0] | inside[1])
-        by_position = F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1
-        by_band = sum((F.least(x(c), y(c)) for c in cs), F.lit(0))
-        return first & _enough(F.least(x("n"), y("n"), by_position, by_band), x("n"), y("n"), num, den)
-
-    def pairs(joined: DataFrame) -> DataFrame:
-        return joined.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).distinct()
-
-    # First round: the leader of a bucket, the set with most copies and, among equals, the smallest share of n-grams of its own.
-    fields = ["node", "n", "pos", *cs]
-    by_rank = F.struct((-F.col("copies")).alias("r"), (1 - most_shared / F.col("n")).alias("s"), *fields)
-    lead = met.groupBy("g").agg(F.min(by_rank).alias("x"))
-    led = met.select("g", F.struct(*fields).alias("y")).join(lead, "g").where((F.col("x.node") != F.col("y.node")) & possible("x", "y"))
-    first = scratch.save(_verify(scratch.save(pairs(led), "pairs"), segs, num, den), "links")
+        return F.when(x("n") < y("n"), inside[0]).when(x("n") > y("n"), inside[1]).otherwise(inside[0] | inside[1])
+
+    of_set = F.struct("node", "n", "k", "end")
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """(a, b, c: n-grams of both first fragments, index) -> the pairs that can reach the threshold, with sizes."""
+        both = pairs.where("index").join(small(info.select(F.col("node").alias("a"), of_set.alias("x"))), "a").join(small(info.select(F.col("node").alias("b"), of_set.alias("y"))), "b")
+        return both.where(bounded("x", "y", "k", F.col("c"))).select("a", F.col("x.n").alias("na"), "b", F.col("y.n").alias("nb"))
+
+    # First round: a set and the best leader of its buckets, by the number of copies and the share of n-grams of its own.
+    # No other set leads a bucket that holds the two, so what they have in common is counted in full.
+    leaders = met.groupBy("g").agg(F.min_by(F.struct("node", "n", "pos", "rank"), "rank").alias("x"))
+    led = met.select("g", F.struct("node", "n", "pos").alias("y")).join(leaders, "g")
+    led = led.groupBy(F.col("y.node").alias("b"), F.col("x.rank").alias("rank")).agg(F.count("*").alias("c"), F.max(in_index("x", "y")).alias("index"))
+    led = led.groupBy("b").agg(F.min(F.struct("rank", "c", "index")).alias("x")).select(F.col("x.rank.node").alias("a"), "b", F.col("x.c").alias("c"), F.col("x.index").alias("index"))
+    tried = scratch.save(counted(led.where("a <> b")), "pairs")
+    first = scratch.save(_verify(tried, info, src, words, num, den), "links")
     roots = scratch.save(components(scratch, first), "roots")
 
     # Second round: pairs of a bucket that no path joins yet, within reach of each other's size. Sets of a bucket's
     # most frequent component need no pairs among themselves, so they are on one side only.
-    at = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = at.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("g", F.col("m.root").alias("major"))
+    at = met.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_root = at.groupBy("g", "root").agg(F.count("*").alias("c"), F.min("node").alias("node")).groupBy("g")
+    most = of_root.agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("rows"), F.count("*").alias("roots")).where("roots > 1").select("g", "rows", F.col("m.root").alias("major"))
     # Classes of sizes, each 1 / t times the one before: sets of a pair are in the same or in neighbours.
     size_class = F.floor(F.log("n") / float(-np.log(num / den))).cast("int")
-    at = scratch.save(at.join(most, "g").withColumn("k", size_class), "open")
-    fields += ["root"]
-    x = at.where("root <> major").select("g", F.explode(F.array(*[F.col("k") + i for i in (-1, 0, 1)])).alias("k"), F.struct(*fields).alias("x"))
-    y = at.select("g", "k", (F.col("root") == F.col("major")).alias("big"), F.struct(*fields).alias("y"))
-    cross = x.join(y, ["g", "k"]).where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & possible("x", "y"))
-    second = scratch.save(_verify(scratch.save(pairs(cross), "pairs"), segs, num, den), "links")
+    at = scratch.save(at.join(most, "g").withColumn("class", size_class).drop("rank"), "open")
+    no_bands = F.lit(None).cast("array<bigint>").alias("bands")
+    at = at.where(F.col("rows") <= BUCKET).withColumn("bands", no_bands).unionByName(_banded(at.where(F.col("rows") > BUCKET), info, src, words, num, den))
+    at = scratch.save(at, "bounded")
+    fields = F.struct("node", "n", "pos", "own", "end", "root", "bands")
+    x = at.where("root <> major").select("g", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class"), fields.alias("x"))
+    y = at.select("g", "class", (F.col("root") == F.col("major")).alias("big"), fields.alias("y"))
+    by_position = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    by_band = F.aggregate(F.zip_with("x.bands", "y.bands", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda p, q: p + q)
+    can = bounded("x", "y", None, 0) & _enough(F.least(by_position, F.coalesce(by_band, by_position)), F.col("x.n"), F.col("y.n"), num, den)
+    cross = x.join(y, ["g", "class"]).where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & can)
+    cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"), F.max(in_index("x", "y")).alias("index"))
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = scratch.save(counted(cross).join(known, ["a", "b"], "left_anti"), "pairs")
+    second = scratch.save(_verify(second, info, src, words, num, den), "links")
     if second.limit(1).count():
         roots = scratch.save(components(scratch, first.union(second)), "roots")
-    for done in (buckets, met, alive, segs, at):
+    for done in (buckets, met, info, at, tried):
         scratch.drop(done)
     nodes = nodes.join(roots, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("root"))
-    return docs.drop("prefix"), nodes
+    return docs.drop("prefix", "tier"), nodes
 
 
 def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, text: str = "text", id_: str = "doc_id") -> DataFrame:

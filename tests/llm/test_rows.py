@@ -102,3 +102,13 @@ def test_equal_rows_are_spread_over_groups(spark):
     rows = [(None, "one two", "a")] * 5000 + [(1, "three", "a")] * 100
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), group=400).collect()
     assert len(got) == 5100 and abs(sum(x.taken for x in got) - got[0].target) <= 2
+
+
+def test_large_buckets_are_bounded_by_bands(spark, monkeypatch):
+    # Every bucket is a large one, and no n-gram comes last: the same links.
+    monkeypatch.setattr(ngram_join, "BUCKET", 2)
+    monkeypatch.setattr(ngram_join, "LATE", 1)
+    rows = [r for r in _random_rows(9, 160) if r[1]]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    groups, sets = _groups(rows, 4, 5, 5)
+    assert got.count() == sum(len(g) if not _shingles(g[0][1], 5) else 1 for g in groups)
