@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a one-column table of longs may be broadcast (8 MB of keys).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast: a million rows of one long, fewer of wider ones.
+BROADCAST_BYTES = 8_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,11 +76,26 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The same rows, marked for broadcast if they are counted to be few; else Spark joins by shuffle."""
+def _width(t: T.DataType) -> int:
+    """Bytes of a value, roughly."""
+    if isinstance(t, T.StructType):
+        return sum(_width(f.dataType) for f in t)
+    return 64 if isinstance(t, (T.ArrayType, T.MapType)) else 32 if isinstance(t, (T.StringType, T.BinaryType)) else 8
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The same rows, marked for broadcast if they are counted to be few for their width; else Spark joins by shuffle."""
+    limit = BROADCAST_BYTES // _width(df.schema)
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches a few rows at a time, so that what is made of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: rows (node, root), root the smallest node reached.
 

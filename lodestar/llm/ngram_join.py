@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, row_hashes, small, unused
+from .common import Scratch, components, in_slices, row_hashes, small, unused
 
 #: Fragments that partial overlaps are counted in, as bits of the hash.
 FRAGMENT_BITS = 4
@@ -33,7 +33,7 @@ BUCKET = 512
 #: Least document frequencies of the bands that bound overlaps; an n-gram of one document is in none.
 BANDS = (2, 4, 8, 16, 64, 256)
 #: Words that a worker's table of hashes keeps.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 #: Documents whose n-grams are counted for the global order, and most n-grams that it puts last.
 #: They decide how large buckets become, never what is linked.
 ORDER_DOCS, LATE = 10_000, 131_072
@@ -93,7 +93,7 @@ def _late(src: DataFrame, words: int, docs: int, size: int) -> tuple[np.ndarray,
     """N-grams in three documents or more of a sample: sorted hashes and how late they come (log2 of the count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             for x in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x, words).astype(np.int64))], ["g"])
 
@@ -122,7 +122,7 @@ def _sets(src: DataFrame, words: int, t: Fraction, late: tuple[np.ndarray, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for b in batches:
+        for b in in_slices(batches):
             sizes, names, prefixes, tiers = [], [], [], []
             for x in b.column(3).to_pylist():
                 s = shingles(x, words)
@@ -142,7 +142,7 @@ def _segments(df: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, parts = None, []
-        for batch in batches:
+        for batch in in_slices(batches):
             out = ([], [], [], [])
             for a, b, x in zip(*(c.to_pylist() for c in batch.columns)):
                 if x != last:  # pairs of one text follow one another
