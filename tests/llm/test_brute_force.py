@@ -350,6 +350,24 @@ def test_embeddings_none(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().kept
 
 
+def test_embeddings_with_repeated_and_missing_ids(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=2000)
+    # More than 1,040 dimensions are summed in pieces; some pairs are undecided by codes alone.
+    rows = [(1, base), (1, base), (None, base * 3), (2, base + r.normal(size=2000) * 0.1), (2, r.normal(size=2000)), (None, r.normal(size=2000)), (7, -base)]
+    side = r.normal(size=2000)
+    side -= side @ base / (base @ base) * base
+    side *= np.linalg.norm(base) / np.linalg.norm(side)
+    rows += [(10 + k, 0.95 * base + np.sqrt(1 - (0.95 + d) ** 2) * side) for k, d in enumerate((-1e-6, 0, 1e-6))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("ha", "hb", "raw")})
+    at = [v.astype(float) for _, v in rows]
+    links = {i: {j for j in range(len(at)) if i != j and at[i] @ at[j] / np.sqrt(at[i] @ at[i]) / np.sqrt(at[j] @ at[j]) >= 0.95} for i in range(len(at))}
+    comp = reach(links)
+    least = {c: min((rows[i][0] for i in comp if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp.values())}
+    want = sorted(((rows[i][0], len(links[i]), least[comp[i]]) for i in range(len(rows))), key=str)
+    assert sorted(((x.vec_id, x.n_links, x.component_id) for x in embed_dedup.near_duplicates(df).collect()), key=str) == want
+
+
 def test_quantisation_bounds_hold():
     r = np.random.default_rng(1)
     x = r.normal(size=(200, 33))
