@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BITS = 16
 #: Most documents that a model is fitted on; a hash of the id picks them.
 TRAIN_DOCS = 6000
@@ -105,8 +107,7 @@ def train(examples: list[tuple[int, str, np.ndarray, np.ndarray]]) -> Model:
     for _, _, ids, _ in examples:
         df[ids] += 1
     model = Model(languages, np.log((1 + len(examples)) / (1 + df)).astype(np.float32) + 1, np.zeros((n, k), np.float32), np.zeros(k, np.float32))
-    held = examples[::8] if len(examples) >= 80 else examples
-    seen = [x for i, x in enumerate(examples) if i % 8] if len(examples) >= 80 else examples
+    held, seen = examples[::8], [x for i, x in enumerate(examples) if i % 8]
     data = [(where[lang], ids, model.vector(ids, counts)) for _, lang, ids, counts in seen]
     # State of FTRL: z and the sum of squared gradients for every weight; the bias is feature n.
     z, q = np.zeros((n + 1, k)), np.zeros((n + 1, k))
@@ -177,4 +178,5 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         return pd.DataFrame([m.predict(t) if m.languages else ("und", 0.0) for t in texts], columns=["lang_pred", "score"])
 
-    return df.withColumn("_p", predict(F.col(text))).select(*df.columns, "_p.*")
+    found = unused(df, "found")
+    return df.withColumn(found, predict(F.col(text))).select(*df.columns, f"{found}.*")

@@ -1,6 +1,6 @@
 """Quality scores by naive Bayes support vectors (NB-SVM).
 
-N-gram indicators of a text (words, pairs of words, shapes, rounded shares of repetition and marks) are
+N-gram indicators of a text (words, all pairs of words, shapes, rounded shares of repetition and marks) are
 scaled by the log ratio of how often documents of either class have them; on these a linear model with
 hinge loss is fitted by dual coordinate descent, and its margin is turned into a probability.
 """
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
+BITS = 21
 #: Most labelled documents that a model is fitted on; a hash of the id picks them.
 TRAIN_DOCS = 8000
 #: Penalty of the hinge loss, passes of coordinate descent, smoothing of the counts.
@@ -85,7 +85,7 @@ def features(text: str | None) -> np.ndarray:
         k = _step(share)
         out += [f"{name}={k}", f"{name}~{k // 2}", *(f"{name}<{j}" for j in range(k + 1, 21, 3))]
     tenths = np.round(in_shape / n * 10).astype(np.uint64)
-    mixed = np.concatenate((ids, shapes, shapes * np.uint64(31) + tenths + np.uint64(7), pairs[in_pair > 1] >> np.uint64(40), np.fromiter(map(_h, out), dtype=np.uint64, count=len(out))))
+    mixed = np.concatenate((ids, shapes, shapes * np.uint64(31) + tenths + np.uint64(7), pairs, np.fromiter(map(_h, out), dtype=np.uint64, count=len(out))))
     return np.unique((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -108,8 +108,7 @@ def train(examples: list[tuple[int, int, np.ndarray]]) -> Model:
     if len({x[1] for x in examples}) < 2:
         share = examples[0][1] if examples else 0.5
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 4.0 * (share - 0.5) * 2)
-    held = examples[::5] if len(examples) >= 100 else examples
-    seen = [x for i, x in enumerate(examples) if i % 5] if len(examples) >= 100 else examples
+    held, seen = examples[::5], [x for i, x in enumerate(examples) if i % 5]
     counts = np.full((2, 1 << BITS), SMOOTH)
     for _, y, ids in seen:
         counts[y, ids] += 1

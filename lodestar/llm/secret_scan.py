@@ -1,13 +1,15 @@
 """Secret scans with a trigram inverted index.
 
 From each rule's pattern a Boolean query over trigrams is derived: what every match must contain. The
-texts of a batch form a segment with postings from the queried trigrams to its rows; a rule's query is
-evaluated by intersecting and uniting postings, and only the rows left are matched. Rules whose
-patterns have no mandatory trigram are matched against every row.
+texts of a batch form a segment of the index: one pass over their bytes looks each trigram up and makes
+postings from those that some query names to the segment's rows. A rule's query is evaluated by
+intersecting and uniting postings, and only the rows left are matched. Rules whose patterns have no
+mandatory trigram are matched against every row; of the rules here that is ``hex``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import re._constants as C
@@ -15,10 +17,13 @@ import re._parser as P
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -47,6 +52,9 @@ EXTRA = (
     Rule("urlauth", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]+"),
 )
 
+#: Texts of a segment, and bytes that are looked up at once.
+SEGMENT, PIECE = 1024, 1 << 20
+
 #: A query is True (no mandatory trigram), a trigram, or ("and" | "or", parts).
 EVERY = True
 
@@ -64,10 +72,16 @@ def _or(parts):
 def trigram_query(pattern: str):
     """What lower-cased trigrams every match of the pattern contains, as a Boolean query.
 
-    Literal runs give their trigrams, alternatives are united, repetitions of at least one count once,
-    and anything else (classes, optional parts) only ends a run.
+    Literal runs give their trigrams, alternatives and small classes are united, repetitions of at least
+    one count once, and anything else (other classes, optional parts) only ends a run.
     """
 
+    def members(arg):
+        """The characters of a small class, lower-cased; None of others."""
+        if all(op is C.LITERAL and v < 128 for op, v in arg) and len(arg) <= 8:
+            return sorted({chr(v).lower() for _, v in arg})
+        return None
+
     def walk(items):
         # Runs of literals, as alternatives: a branch of pure literals multiplies them out.
         queries, runs = [], [""]
@@ -80,6 +94,8 @@ def trigram_query(pattern: str):
         for op, arg in items:
             if op is C.LITERAL and arg < 128:
                 runs = [r + chr(arg).lower() for r in runs]
+            elif op is C.IN and members(arg) and len(runs) * len(members(arg)) <= 64:
+                runs = [r + c for r in runs for c in members(arg)]
             elif op is C.SUBPATTERN:
                 texts = pure(arg[3])
                 if texts is not None and len(runs) * len(texts) <= 64:
@@ -110,6 +126,8 @@ def trigram_query(pattern: str):
         for op, arg in items:
             if op is C.LITERAL and arg < 128:
                 more = [chr(arg).lower()]
+            elif op is C.IN:
+                more = members(arg)
             elif op is C.SUBPATTERN:
                 more = pure(arg[3])
             elif op is C.BRANCH:
@@ -148,16 +166,43 @@ def _search_pattern(rule: Rule) -> str:
     return rule.pattern
 
 
-def find(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, rank of the rule, end) of every text, by start and rank."""
+@functools.lru_cache(maxsize=16)
+def _compiled(rules: tuple[Rule, ...]):
+    """Once a worker: each rule's query and matcher, the trigrams of all queries, and the table that looks them up."""
     queries = [trigram_query(r.pattern) for r in rules]
+    matchers = [re.compile(_search_pattern(r), re.ASCII | (re.IGNORECASE if r.any_case else 0)) for r in rules]
+    names = sorted(set().union(*map(_trigrams, queries)))
+    table = np.zeros(1 << 24, dtype=np.uint16)
+    for k, t in enumerate(names, 1):
+        table[int.from_bytes(t.encode(), "big")] = k
+    return queries, matchers, names, table
+
+
+def postings(texts: list[str], names: list[str], table: np.ndarray) -> dict[str, set[int]]:
+    """Trigram -> the texts that have it, from one pass over all bytes, A-Z in lower case."""
     lower = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    postings = {t: {i for i, x in enumerate(lower) if key in x} for t in set().union(*map(_trigrams, queries)) for key in [t.encode()]}
+    ends = np.cumsum([len(x) + 1 for x in lower])
+    # No trigram of a query has a zero byte, so none spans two texts.
+    data = np.frombuffer(b"\0".join(lower), dtype=np.uint8)
+    out: dict[str, set[int]] = {t: set() for t in names}
+    for at in range(0, max(0, len(data) - 2), PIECE):
+        piece = data[at : at + PIECE + 2].astype(np.uint32)
+        code = table[(piece[:-2] << np.uint32(16)) | (piece[1:-1] << np.uint32(8)) | piece[2:]]
+        hit = np.flatnonzero(code)
+        pairs = np.unique(code[hit].astype(np.int64) << 32 | np.searchsorted(ends, hit + at, "right"))
+        for key in pairs.tolist():
+            out[names[(key >> 32) - 1]].add(key & 0xFFFFFFFF)
+    return out
+
+
+def find(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
+    """Spans (start, rank of the rule, end) of every text, by start and rank."""
+    queries, matchers, names, table = _compiled(rules)
+    index = postings(texts, names, table)
     everything = set(range(len(texts)))
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for rank, (rule, query) in enumerate(zip(rules, queries)):
-        match = re.compile(_search_pattern(rule), re.ASCII | (re.IGNORECASE if rule.any_case else 0))
-        for i in _rows(query, postings, everything):
+    for rank, (rule, query, match) in enumerate(zip(rules, queries, matchers)):
+        for i in _rows(query, index, everything):
             for m in match.finditer(texts[i]):
                 if m.end(rule.group) - m.start(rule.group) >= rule.least:
                     found[i].append((m.start(), rank, m.end()))
@@ -182,12 +227,13 @@ def scan(df: DataFrame, text: str = "text", extra: tuple[Rule, ...] = EXTRA) ->
         for batch in batches:
             texts = [t or "" for t in batch]
             out = []
-            for lo in range(0, len(texts), 1024):  # a segment of the index
-                for spans in find(texts[lo : lo + 1024], rules):
+            for lo in range(0, len(texts), SEGMENT):
+                for spans in find(texts[lo : lo + SEGMENT], rules):
                     write = lambda some: ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in some)
                     base = [s for s in spans if s[1] < len(BASE)]
                     n = [sum(s[1] == k for s in base) for k in range(len(BASE))]
                     out.append((*n, hashlib.sha256(write(base).encode()).hexdigest(), write(spans)))
             yield pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return df.withColumn("_s", spans_of(F.col(text))).select(*df.columns, "_s.*")
+    found = unused(df, "found")
+    return df.withColumn(found, spans_of(F.col(text))).select(*df.columns, f"{found}.*")

@@ -396,13 +396,17 @@ def test_tokens(spark, documents, odd, empty):
     assert token_count.count_tokens(odd, path).count() == len(ODD)
 
 
-def test_plain_pattern_is_the_librarys():
+def test_pattern_is_the_librarys_in_every_script():
     import public_tokenizers
 
-    lengths, specials, plain = token_count.Lengths({}, token_count._load(public_tokenizers.path("byte_bpe_50k.json"))[0]), [], True
-    for c in map(chr, itertools.chain(range(0x250), range(0x2000, 0x2070), (0x20AC, 0x2122))):
+    worker = token_count.Worker(public_tokenizers.path("byte_bpe_50k.json"), {})
+    r = random.Random(8)
+    some = [r.randrange(0x250, 0x110000) for _ in range(3000)]
+    for c in map(chr, itertools.chain(range(0x590), range(0x2000, 0x2070), range(0x3040, 0x30FF), (c for c in some if not 0xD800 <= c < 0xE000))):
         text = f"a{c}b 1{c}2 {c}{c} x\n{c} "
-        assert token_count._count(text, lengths, specials, plain) == len(lengths.tokenizer.encode(text, add_special_tokens=False).ids), hex(ord(c))
+        assert worker.counts([text]) == [len(worker.tokenizer.encode(text, add_special_tokens=False).ids)], hex(ord(c))
+    texts = ["日本語のテキスト と русский текст, ελληνικά १२३ عربي 👩‍👩‍👧 ñ", "plain words here"]
+    assert worker.counts(texts) == [len(worker.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 # 7 Jaccard
@@ -473,6 +477,37 @@ def test_jaccard_tables(spark, documents, odd, empty):
 # 8 languages
 
 
+def test_training_equals_plain_ftrl():
+    # The same steps, a feature at a time.
+    r = np.random.default_rng(3)
+    examples = [(i, "ab"[i % 2], np.array(sorted(r.choice(40, 6, replace=False) + 20 * (i % 2))), r.integers(1, 5, 6)) for i in range(48)]
+    model = lang_id.train(examples)
+    z, q = collections.Counter(), collections.Counter()
+    seen = [x for i, x in enumerate(examples) if i % 8]
+
+    def weight(f, k):
+        a = z[f, k]
+        return 0.0 if abs(a) <= lang_id.L1 else -(a - np.sign(a) * lang_id.L1) / ((lang_id.BETA + np.sqrt(q[f, k])) / lang_id.ALPHA + lang_id.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(lang_id.EPOCHS):
+        for i in order.permutation(len(seen)):
+            _, lang, ids, counts = seen[i]
+            x = {**dict(zip(ids.tolist(), model.vector(ids, counts).tolist())), "bias": 1.0}
+            w = {(f, k): weight(f, k) for f in x for k in range(2)}
+            e = [np.exp(sum(x[f] * w[f, k] for f in x)) for k in range(2)]
+            for k in range(2):
+                g0 = e[k] / sum(e) - (k == "ab".index(lang))
+                for f, v in x.items():
+                    g = g0 * v
+                    s = (np.sqrt(q[f, k] + g * g) - np.sqrt(q[f, k])) / lang_id.ALPHA
+                    z[f, k] += g - s * w[f, k]
+                    q[f, k] += g * g
+    for f in range(60):
+        assert model.weights[f] == pytest.approx([weight(f, k) for k in range(2)], abs=1e-5)
+    assert model.bias == pytest.approx([weight("bias", k) for k in range(2)], abs=1e-5)
+
+
 def test_languages(spark, odd, empty):
     rows = queries.op8_language_id(spark, "/root/testdata/sf0.01").collect()
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id")
@@ -512,6 +547,29 @@ def test_secrets(spark, documents, odd, empty):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.scan(odd).count() == len(ODD)
 
 
+def test_extra_rules_against_full_scans(documents):
+    r, keys = random.Random(6), ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, "ghr_" + "Zz" * 20, "xoxb-1234567890", "xoxq-1234567890", "AIza" + "x" * 35, "AUTHORIZATION:  bearer abcdefghijklmnop==", "postgres://me:pw123@db.example", "http://a.b/c", "token: abcdefg"]
+    texts = [t for t in documents.text if t] + ["", "x"] + [" ".join(r.sample(keys, 2) + [prose(r.randrange(30), i)]) for i in range(300)] + ["\U0001f600 É " + k for k in keys]
+    rules = secret_scan.BASE + secret_scan.EXTRA
+    got = secret_scan.find(texts, rules)
+    for text, spans in zip(texts, got):
+        want = []
+        for k, rule in enumerate(rules):
+            for m in re.finditer(rule.pattern, text, re.A | (re.I if rule.any_case else 0)):
+                if len(m[rule.group]) >= rule.least:
+                    want.append((m.start(), k, m.end()))
+        assert spans == sorted(want)
+    assert {k for spans in got for _, k, _ in spans} >= set(range(3, len(rules)))
+    # All rules but hex have mandatory trigrams; postings are those of plain search, over pieces too.
+    assert [x.kind for x in rules if secret_scan.trigram_query(x.pattern) is secret_scan.EVERY] == ["hex"]
+    _, _, names, table = secret_scan._compiled(rules)
+    for size in (1 << 20, 50):
+        secret_scan.PIECE, before = size, secret_scan.PIECE
+        index = secret_scan.postings(texts[-200:], names, table)
+        secret_scan.PIECE = before
+        assert index == {t: {i for i, x in enumerate(texts[-200:]) if t.encode() in x.encode().lower()} for t in names}
+
+
 def test_trigram_queries_lose_nothing():
     samples = {"pem": "-----BEGIN RSA PRIVATE KEY-----", "github": "ghp_" + "a1" * 18, "slack": "xoxb-1234567890", "google": "AIza" + "x" * 35, "bearer": "Authorization: Bearer abcdefghijklmnop", "urlauth": "postgres://me:pw123@db.example"}
     for r in secret_scan.EXTRA:
@@ -524,6 +582,36 @@ def test_trigram_queries_lose_nothing():
 # 10 quality
 
 
+def test_dual_coordinate_descent_is_at_the_optimum():
+    # At the solution of the hinge loss, alphas at 0, inside and at the cost have margins above, at and below 1; so no
+    # small step of the primal objective's subgradient lowers it.
+    r = np.random.default_rng(5)
+    examples = [(i, int(i % 3 == 0), np.unique(np.concatenate((r.choice(30, 8), [30 + (i % 3 == 0) * r.integers(0, 9) + 20 * (r.random() < 0.1)])))) for i in range(150)]
+    quality_epochs, quality.EPOCHS = quality.EPOCHS, 300
+    try:
+        model = quality.train(examples)
+    finally:
+        quality.EPOCHS = quality_epochs
+    seen = [x for i, x in enumerate(examples) if i % 5]
+    counts = np.ones((2, 60))
+    for _, y, ids in seen:
+        counts[y, ids] += 1
+    n = [sum(y == k for _, y, _ in seen) + 2 for k in (0, 1)]
+    ratio = np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
+    x = np.zeros((len(seen), 61))
+    for row, (_, _, ids) in zip(x, seen):
+        row[ids], row[60] = ratio[ids] / np.sqrt(len(ids)), 1
+    y = np.array([1.0 if k else -1.0 for _, k, _ in seen])
+    cost = quality.COST * len(seen) / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
+    objective = lambda w: w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w))
+    got = np.append(np.divide(model.weights[:60], ratio, out=np.zeros(60), where=ratio != 0), model.bias)
+    w, best = np.zeros(61), np.inf
+    for k in range(1, 20_001):  # a plain subgradient method
+        w = w - (w - (cost * y * (y * (x @ w) < 1)) @ x) / k
+        best = min(best, objective(w))
+    assert objective(got) <= best * 1.001
+
+
 def test_quality(spark, odd, empty):
     rows = queries.op10_quality(spark, "/root/testdata/sf0.01").collect()
     marks = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").set_index("doc_id").quality
