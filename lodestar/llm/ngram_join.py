@@ -172,8 +172,8 @@ def _verify(pairs: DataFrame, info: DataFrame, src: DataFrame, words: int, num:
     def sets(need: DataFrame) -> DataFrame:
         return _segments(src.join(small(need), ["ra", "rb"]).select("a", "b", "text"), words)
 
-    right = sets(pairs.select("a", "b").join(small(rows), F.col("b") == F.col("node")).select("a", "b", "ra", "rb"))
-    left = sets(pairs.select("a").distinct().join(small(rows), F.col("a") == F.col("node")).select("a", F.col("a").alias("b"), "ra", "rb")).select("a", "frag", F.col("seg").alias("x"))
+    right = sets(pairs.select("a", "b").join(rows, F.col("b") == F.col("node")).select("a", "b", "ra", "rb"))
+    left = sets(pairs.select("a").distinct().join(rows, F.col("a") == F.col("node")).select("a", F.col("a").alias("b"), "ra", "rb")).select("a", "frag", F.col("seg").alias("x"))
     part = right.join(left, ["a", "frag"]).select("a", "b", "frag", F.size(F.array_intersect("x", "seg")).cast("long").alias("o"))
     # Rows that come repeatedly give the same overlap again.
     total = part.groupBy("a", "b", "frag").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))
@@ -209,13 +209,13 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     # Buckets of two nodes or more.
     rows = nodes.select("node", F.posexplode("prefix").alias("pos", "g"))
     buckets = scratch.save(rows.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("g"), "grams")
-    met = scratch.save(rows.join(small(buckets), "g"), "met")
+    met = scratch.save(rows.join(buckets, "g"), "met")
     # Of each node in a bucket: k n-grams of its first fragment, own of which no other first fragment has, and where it ends.
     info = nodes.join(met.groupBy("node").agg(F.count("*").alias("m")), "node")
     info = info.select("node", "n", "copies", F.size("prefix").alias("k"), (F.size("prefix") - F.col("m")).alias("own"), F.struct("tier", F.element_at("prefix", -1)).alias("end"), F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb"))
     info = scratch.save(info, "info")
     rank = F.struct((-F.col("copies")).alias("r"), F.floor(1000 * F.col("own") / F.col("n")).alias("s"), "node")
-    met = scratch.save(met.join(small(info.select("node", "n", "own", "end", rank.alias("rank"))), "node"), "ranked")
+    met = scratch.save(met.join(info.select("node", "n", "own", "end", rank.alias("rank")), "node"), "ranked")
 
     def bounded(a: str, b: str, k: str | None, common: Column | int) -> Column:
         """Whether two structs of a set can be a pair, with ``common`` n-grams of k in both first fragments (or ``own`` in one only).
@@ -237,7 +237,7 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
 
     def counted(pairs: DataFrame) -> DataFrame:
         """(a, b, c: n-grams of both first fragments, index) -> the pairs that can reach the threshold, with sizes."""
-        both = pairs.where("index").join(small(info.select(F.col("node").alias("a"), of_set.alias("x"))), "a").join(small(info.select(F.col("node").alias("b"), of_set.alias("y"))), "b")
+        both = pairs.where("index").join(info.select(F.col("node").alias("a"), of_set.alias("x")), "a").join(info.select(F.col("node").alias("b"), of_set.alias("y")), "b")
         return both.where(bounded("x", "y", "k", F.col("c"))).select("a", F.col("x.n").alias("na"), "b", F.col("y.n").alias("nb"))
 
     # First round: a set and the best leader of its buckets, by the number of copies and the share of n-grams of its own.
@@ -252,7 +252,7 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
 
     # Second round: pairs of a bucket that no path joins yet, within reach of each other's size. Sets of a bucket's
     # most frequent component need no pairs among themselves, so they are on one side only.
-    at = met.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = at.groupBy("g", "root").agg(F.count("*").alias("c"), F.min("node").alias("node")).groupBy("g")
     most = of_root.agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("rows"), F.count("*").alias("roots")).where("roots > 1").select("g", "rows", F.col("m.root").alias("major"))
     # Classes of sizes, each 1 / t times the one before: sets of a pair are in the same or in neighbours.
