@@ -28,6 +28,8 @@ from .common import Scratch, components, in_slices, row_hashes, small, unused
 
 #: Fragments that partial overlaps are counted in, as bits of the hash.
 FRAGMENT_BITS = 4
+#: Longs of a set's bitmap, a power of two.
+WORDS = 8
 #: Rows of a bucket from which on overlaps are bounded by document frequencies too before its pairs are made.
 BUCKET = 512
 #: Least document frequencies of the bands that bound overlaps; an n-gram of one document is in none.
@@ -116,6 +118,12 @@ def _in_order(s: np.ndarray, k: int, late: np.ndarray, when: np.ndarray) -> tupl
     return (s[:k] ^ np.uint64(1 << 63)).astype(np.int64), tier
 
 
+def _bits(prefix: str) -> Column:
+    """A bitmap of WORDS longs, a struct b0, b1, ..: n-grams by their lowest bits."""
+    word = "aggregate({p}, 0L, (acc, g) -> if((g & {mask}) = {at}, acc | shiftleft(1L, cast(g & 63 as int)), acc)) as b{i}"
+    return F.struct(*[F.expr(word.format(p=prefix, mask=64 * (WORDS - 1), at=64 * i, i=i)) for i in range(WORDS)])
+
+
 def _sets(src: DataFrame, words: int, t: Fraction, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, ra and rb (hashes of the row), n (size of the set), ha and hb (name of the set), prefix: its first fragment, tier: that of the prefix' last."""
     shared = src.sparkSession.sparkContext.broadcast(late)
@@ -212,18 +220,21 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     met = scratch.save(rows.join(buckets, "g"), "met")
     # Of each node in a bucket: k n-grams of its first fragment, own of which no other first fragment has, and where it ends.
     info = nodes.join(met.groupBy("node").agg(F.count("*").alias("m")), "node")
-    info = info.select("node", "n", "copies", F.size("prefix").alias("k"), (F.size("prefix") - F.col("m")).alias("own"), F.struct("tier", F.element_at("prefix", -1)).alias("end"), F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb"))
+    info = info.select("node", "n", "copies", _bits("prefix").alias("bits"), F.size("prefix").alias("k"), (F.size("prefix") - F.col("m")).alias("own"), F.struct("tier", F.element_at("prefix", -1)).alias("end"), F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb"))
     info = scratch.save(info, "info")
     rank = F.struct((-F.col("copies")).alias("r"), F.floor(1000 * F.col("own") / F.col("n")).alias("s"), "node")
     met = scratch.save(met.join(info.select("node", "n", "own", "end", rank.alias("rank")), "node"), "ranked")
 
-    def bounded(a: str, b: str, k: str | None, common: Column | int) -> Column:
-        """Whether two structs of a set can be a pair, with ``common`` n-grams of k in both first fragments (or ``own`` in one only).
+    def bounded(a: str, b: str, common: Column | None) -> Column:
+        """Whether two structs of a set can be a pair, with ``common`` n-grams of k in both first fragments, or by own and bits.
 
         Of the first fragment that ends first, n-grams that the other first fragment lacks are lacking in the other set.
         """
         x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-        lacks = [z(k) - common if k else z("own") for z in (x, y)]
+        if common is None:
+            lacks = [F.greatest(p("own"), sum((F.bit_count(p(f"bits.b{i}").bitwiseAND(F.bitwise_not(q(f"bits.b{i}")))) for i in range(WORDS)), F.lit(0))) for p, q in ((x, y), (y, x))]
+        else:
+            lacks = [z("k") - common for z in (x, y)]
         most = F.when(x("end") <= y("end"), x("n") - lacks[0]).otherwise(y("n") - lacks[1])
         return _enough(F.least(most, x("n"), y("n")), x("n"), y("n"), num, den)
 
@@ -238,7 +249,7 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     def counted(pairs: DataFrame) -> DataFrame:
         """(a, b, c: n-grams of both first fragments, index) -> the pairs that can reach the threshold, with sizes."""
         both = pairs.where("index").join(info.select(F.col("node").alias("a"), of_set.alias("x")), "a").join(info.select(F.col("node").alias("b"), of_set.alias("y")), "b")
-        return both.where(bounded("x", "y", "k", F.col("c"))).select("a", F.col("x.n").alias("na"), "b", F.col("y.n").alias("nb"))
+        return both.where(bounded("x", "y", F.col("c"))).select("a", F.col("x.n").alias("na"), "b", F.col("y.n").alias("nb"))
 
     # First round: a set and the best leader of its buckets, by the number of copies and the share of n-grams of its own.
     # No other set leads a bucket that holds the two, so what they have in common is counted in full.
@@ -250,24 +261,22 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     first = scratch.save(_verify(tried, info, src, words, num, den), "links")
     roots = scratch.save(components(scratch, first), "roots")
 
-    # Second round: pairs of a bucket that no path joins yet, within reach of each other's size. Sets of a bucket's
-    # most frequent component need no pairs among themselves, so they are on one side only.
-    at = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Second round: pairs of a bucket that no path joins yet. Sets of a bucket's most frequent component need no pairs
+    # among themselves, so they are on one side only. A bit that only one first fragment has is an n-gram that the other lacks.
+    at = met.join(info.select("node", "bits").join(roots, "node", "left"), "node").withColumn("root", F.coalesce("root", "node"))
     of_root = at.groupBy("g", "root").agg(F.count("*").alias("c"), F.min("node").alias("node")).groupBy("g")
     most = of_root.agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("rows"), F.count("*").alias("roots")).where("roots > 1").select("g", "rows", F.col("m.root").alias("major"))
-    # Classes of sizes, each 1 / t times the one before: sets of a pair are in the same or in neighbours.
-    size_class = F.floor(F.log("n") / float(-np.log(num / den))).cast("int")
-    at = scratch.save(at.join(most, "g").withColumn("class", size_class).drop("rank"), "open")
+    at = scratch.save(at.join(most, "g").drop("rank"), "open")
     no_bands = F.lit(None).cast("array<bigint>").alias("bands")
     at = at.where(F.col("rows") <= BUCKET).withColumn("bands", no_bands).unionByName(_banded(at.where(F.col("rows") > BUCKET), info, src, words, num, den))
     at = scratch.save(at, "bounded")
-    fields = F.struct("node", "n", "pos", "own", "end", "root", "bands")
-    x = at.where("root <> major").select("g", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class"), fields.alias("x"))
-    y = at.select("g", "class", (F.col("root") == F.col("major")).alias("big"), fields.alias("y"))
+    fields = F.struct("node", "n", "pos", "own", "end", "root", "bits", "bands")
+    x = at.where("root <> major").select("g", fields.alias("x"))
+    y = at.select("g", (F.col("root") == F.col("major")).alias("big"), fields.alias("y"))
     by_position = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     by_band = F.aggregate(F.zip_with("x.bands", "y.bands", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda p, q: p + q)
-    can = bounded("x", "y", None, 0) & _enough(F.least(by_position, F.coalesce(by_band, by_position)), F.col("x.n"), F.col("y.n"), num, den)
-    cross = x.join(y, ["g", "class"]).where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & can)
+    can = bounded("x", "y", None) & _enough(F.least(by_position, F.coalesce(by_band, by_position)), F.col("x.n"), F.col("y.n"), num, den)
+    cross = x.join(y, "g").where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & can)
     cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"), F.max(in_index("x", "y")).alias("index"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = scratch.save(counted(cross).join(known, ["a", "b"], "left_anti"), "pairs")
