@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal suffixes that end a company's name.
-SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "lp", "plc", "sa", "ag", "nv", "holdings", "group")
+SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "lp", "llp", "plc", "sa", "nv", "bv", "ag", "gmbh", "ab", "oyj", "oy", "as", "pte", "pty", "holdings", "holding", "group")
 _TAIL = "|".join(SUFFIXES)
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .names import squeeze
 
-# Entities that occur in practice.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&middot;": "·", "&copy;": "©", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """All named and numeric entities as the characters they stand for."""
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def normalize_text(c: Column) -> Column:
@@ -22,8 +28,7 @@ def html_to_text(c: Column) -> Column:
     s = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     s = F.regexp_replace(s, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|article|section|header|footer|nav|title)\s*>", "\n")
     s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
-    for entity, sign in ENTITIES.items():
-        s = F.replace(s, F.lit(entity), F.lit(sign))
+    s = unescape(s)
     s = F.regexp_replace(s, r"[ \t\r\f\x{00A0}\x{2000}-\x{200A}\x{3000}]+", " ")
     return F.trim(F.regexp_replace(s, r" *\n[ \n]*", "\n"), F.lit(" \n"))
 

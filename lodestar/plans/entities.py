@@ -11,7 +11,9 @@ from .registry import query
 
 # A name with a suffix, an ampersand and signs, made from the tables alike in both dialects.
 _NAME = "p_name || case p_partkey % 6 when 0 then ', Inc.' when 1 then ' Holdings Corp.' when 2 then ' & Sons Co' when 3 then ' (old) Ltd' when 4 then ' Acquisition Group' else '' end"
-_KEY = "trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower({n}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '^(.+?)(?: (?:" + "|".join(names.SUFFIXES) + "))+$', '\\1'))"
+# Written out here, so that the SQL doesn't follow the engine's list.
+SUFFIX_SQL = "inc|incorporated|corp|corporation|co|company|ltd|limited|llc|lp|llp|plc|sa|nv|bv|ag|gmbh|ab|oyj|oy|as|pte|pty|holdings|holding|group"
+_KEY = "trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower({n}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '^(.+?)(?: (?:" + SUFFIX_SQL + "))+$', '\\1'))"
 
 
 def _named(t: Tables):
@@ -26,9 +28,9 @@ def normalize_name(t: Tables):
 
 @query("title_key", f"""
 with n as (select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace({_NAME}, '\\([^)]*\\)', ' ', 'g'), '[.,#]', ' ', 'g'), ' +', ' ', 'g')) s from part),
-r1 as (select *, regexp_replace(s, '(?i) (?:{"|".join(names.SUFFIXES)})$', '') c1 from n),
+r1 as (select *, regexp_replace(s, '(?i) (?:{SUFFIX_SQL})$', '') c1 from n),
 r2 as (select *, case when length(c1) >= 3 and length(c1) >= length(s) * 0.34 then c1 else s end s1 from r1),
-r3 as (select *, regexp_replace(s1, '(?i) (?:{"|".join(names.SUFFIXES)})$', '') c2 from r2)
+r3 as (select *, regexp_replace(s1, '(?i) (?:{SUFFIX_SQL})$', '') c2 from r2)
 select p_partkey, case when length(c2) >= 3 and length(c2) >= length(s) * 0.34 then c2 else s1 end title from r3""")
 def title_key(t: Tables):
     return _named(t).select("p_partkey", names.title_key(F.col("name")).alias("title"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names, text as tx
+from ..functions import text as tx
 from ..operators import aggregates as agg, extract, match
 from .bindings import Tables
+from .entities import SUFFIX_SQL
 from .registry import query
 
 _NT = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '&[a-z0-9#]+;', ' ', 'g'), '[^a-z0-9$ ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -78,7 +79,7 @@ _NM = "p_name || case p_partkey % 4 when 0 then ', Inc.' when 1 then ' Group' el
 
 
 @query("generate_aliases", f"""
-with i as (select p_partkey issuer_id, {_NM} n, 'T' || p_partkey tick from part), k as (select *, {_NT.format(c='n')} f, trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(n), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '^(.+?)(?: (?:{"|".join(names.SUFFIXES)}))+$', '\\1')) c from i)
+with i as (select p_partkey issuer_id, {_NM} n, 'T' || p_partkey tick from part), k as (select *, {_NT.format(c='n')} f, trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(n), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '^(.+?)(?: (?:{SUFFIX_SQL}))+$', '\\1')) c from i)
 select distinct * from (select issuer_id, f alias, 'legal' kind from k union all select issuer_id, c, 'legal' from k union all select issuer_id, split_part(c, ' ', 1), 'brand' from k where split_part(c, ' ', 1) <> c and length(split_part(c, ' ', 1)) >= 4 and split_part(c, ' ', 1) not in ('green') union all select issuer_id, '$' || lower(tick), 'cashtag' from k)""")
 def generate_aliases(t: Tables):
     i = t.part.select(F.col("p_partkey").alias("issuer_id"), F.expr(_NM).alias("legal_name"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("ticker"))
@@ -128,7 +129,7 @@ def extract_terms(t: Tables):
     body = tx.html_to_text(F.col("html"))
     offer = F.concat(F.lit("The initial public offering price is expected to be between $"), (F.col("page_id") % 40).cast("string"), F.lit(" and $"), (F.col("page_id") % 40 + 2).cast("string"), F.lit(" per share.\n"))
     p = t.pages.select("page_id", F.concat(offer, body).alias("text"))
-    return p.select("page_id", extract.price_terms(F.col("text"), F.substring("text", 1, 20_000)).alias("x")).select("page_id", "x.*")
+    return p.select("page_id", extract.price_terms(F.col("text"), extract.cover("text")).alias("x")).select("page_id", "x.*")
 
 
 @query("dictionary_extract")
