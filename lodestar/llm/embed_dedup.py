@@ -163,14 +163,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embed
     scratch = Scratch(spark, "embed")
     v = F.col("raw").cast("array<double>")
     usable = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-    # Scaled by the largest part, squares neither vanish nor overflow.
+    # Scaled by the largest part, squares neither vanish nor overflow; the outer lambda finds it once a vector.
     largest = F.array_max(F.transform(v, F.abs))
-    scaled = F.when(usable & (largest > 0), F.transform(v, lambda x: x / largest + 0.0))
+    scaled = F.when(usable & (largest > 0), F.get(F.transform(F.array(largest), lambda m: F.transform(v, lambda x: x / m + 0.0)), 0))
 
     def hashes(of: Column) -> list[Column]:
         return [F.when(of.isNotNull(), F.xxhash64(F.lit(k), of)).alias(c) for k, c in enumerate(("ha", "hb"))]
 
     rows = df.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).alias("raw")).select("vec_id", "raw", *hashes(scaled))
+    ids = scratch.save(rows.select("vec_id", "ha", "hb"), "ids")
     # Equal vectors as one; the number of a row in the saved table names it.
     uniq = rows.where("ha is not null").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
     uniq = scratch.save(uniq.select("ha", "hb", "copies", scaled.alias("v"), F.size("raw").alias("dim"), F.monotonically_increasing_id().alias("node")), "vectors")
@@ -190,9 +191,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embed
     roots = components(scratch, part.select(F.col("node").alias("a"), F.col("link").alias("b")))
     partners = part.groupBy("node").agg(F.sum("n").alias("partners"))
     # By vector first, so that copies don't meet in one group.
-    first = rows.where("ha is not null").groupBy("ha", "hb").agg(F.min("vec_id").alias("first"))
+    first = ids.where("ha is not null").groupBy("ha", "hb").agg(F.min("vec_id").alias("first"))
     nodes = uniq.select("ha", "hb", "node", "copies").join(partners, "node", "left").join(roots, "node", "left").join(first, ["ha", "hb"]).withColumn("root", F.coalesce("root", "node"))
     nodes = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("least")), "root").select("ha", "hb", "least", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    out = rows.select("vec_id", "ha", "hb").join(nodes, ["ha", "hb"], "left")
+    out = ids.join(nodes, ["ha", "hb"], "left")
     comp = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
