@@ -158,7 +158,7 @@ def merge_aliased_series(t: Tables):
 
 
 @query("interval_compare", """
-with c as (select user_id entity, count(*) filter (where ts < timestamp '2024-01-16') pre, count(*) filter (where ts >= timestamp '2024-01-16') post, bool_and(event_type <> 'error') filter (where ts < timestamp '2024-01-16') pre_exact, bool_and(event_type <> 'error') filter (where ts >= timestamp '2024-01-16') post_exact from events where event_id % 3 = 0 group by 1)
+with c as (select user_id entity, count(*) filter (where ts < timestamp '2024-01-16') pre, count(*) filter (where ts >= timestamp '2024-01-16') post, bool_and(event_type <> 'error') filter (where ts < timestamp '2024-01-16') pre_exact, bool_and(event_type <> 'error') filter (where ts >= timestamp '2024-01-16') post_exact from events group by 1)
 select entity, pre, post, coalesce(pre_exact, true) pre_exact, coalesce(post_exact, true) post_exact, post > (case when coalesce(pre_exact, true) then pre else 'inf'::double end) post_exceeds, pre > (case when coalesce(post_exact, true) then post else 'inf'::double end) pre_exceeds,
  (post > (case when coalesce(pre_exact, true) then pre else 'inf'::double end)) or (pre > (case when coalesce(post_exact, true) then post else 'inf'::double end)) direction_established,
  coalesce(pre_exact, true) and coalesce(post_exact, true) magnitude_valid from c""")

@@ -30,7 +30,7 @@ def _submissions(t: Tables):
     return f.select("issuer_id", F.to_json(F.struct(F.concat(F.lit("Issuer "), F.col("issuer_id").cast("string")).alias("name"), F.lit("").alias("sicDescription"), F.array(F.lit(""), F.concat(F.lit("T"), F.col("issuer_id").cast("string"))).alias("tickers"), F.array().cast("array<string>").alias("exchanges"), F.struct(recent.alias("recent")).alias("filings"))).alias("value"))
 
 
-@query("scan_parallel_arrays", f"with {FILINGS}, k as (select *, row_number() over (partition by issuer_id order by filing_id) - 1 pos from filings) select issuer_id, pos::int pos, form, filed_on, filing_id::varchar accession from k where pos < 5")
+@query("scan_parallel_arrays", f"with {FILINGS}, k as (select *, row_number() over (partition by issuer_id order by filing_id) - 1 pos from filings) select issuer_id, pos::int pos, form, filed_on, filing_id::varchar accession from k qualify not (issuer_id % 3 = 0 and pos = count(*) over (partition by issuer_id) - 1)")
 def scan_parallel_arrays(t: Tables):
     return landed.parse_submissions(_submissions(t))[1].select("issuer_id", "pos", "form", "filed_on", "accession")
 

@@ -47,8 +47,8 @@ def fisher_ci(t: Tables):
 _EVENT = f"with {MENTIONS}, {LISTINGS}, e as (select l.issuer_id, count(mention_id) n, max(open_price) px from listings l left join mentions m on m.issuer_id = l.issuer_id and posted_at >= l.listed_on - interval 14 day and posted_at < l.listed_on + interval 15 day group by 1)"
 
 
-@query("permutation_test", f"""{_EVENT}, r as (select issuer_id, {_rank('n')} a, {_rank('px')} b, row_number() over (order by issuer_id) pos from e where issuer_id < 400),
-s as (select q.k, r.a, row_number() over (partition by q.k order by md5('p' || q.k || ':' || issuer_id), issuer_id) pos from r, range(0, 200) q(k)),
+@query("permutation_test", f"""{_EVENT}, r as (select issuer_id, {_rank('n')} a, {_rank('px')} b, row_number() over (order by issuer_id) pos from e),
+s as (select q.k, r.a, row_number() over (partition by q.k order by md5('p' || q.k || ':' || issuer_id), issuer_id) pos from r, range(0, 10000) q(k)),
 x as (select s.k, sum(s.a * r.b) t from s join r on s.pos = r.pos group by 1), o as (select count(*) n, sum(a * b) obs, count(*) * avg(a) * avg(b) c, corr(a, b) rho from r)
 select n, round(rho, 6) rho, count(*) filter (where abs(t - c) >= abs(obs - c) - 1e-9) extreme, round((count(*) filter (where abs(t - c) >= abs(obs - c) - 1e-9) + 1) / (count(*) + 1), 6) p from x, o group by n, rho""")
 def permutation_test(t: Tables):
@@ -76,7 +76,7 @@ def spec_curve(t: Tables):
     return w.select("spec", "n1", "n0", *[F.round(c, 6).alias(c) for c in ("diff", "se", "t")])
 
 
-@query("mann_whitney", f"""with {OUTCOMES}, o as (select treated f, {_RET} v from outcomes where offer < 1000), r as (select f, v, {_rank('v')} rk from o),
+@query("mann_whitney", f"""with {OUTCOMES}, o as (select treated f, {_RET} v from outcomes), r as (select f, v, {_rank('v')} rk from o),
 g as (select (count(*) filter (where f = 1))::double n1, (count(*) filter (where f = 0))::double n0, sum(rk) filter (where f = 1) r1 from r), tt as (select sum(c::double ** 3 - c) ties from (select count(*) c from o group by v)),
 u as (select n1, n0, r1 - n1 * (n1 + 1) / 2 u, n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1))) var from g, tt)
 select n1::bigint n1, n0::bigint n0, u, round((u - n1 * n0 / 2) / sqrt(var), 6) z, round(2 * u / (n1 * n0) - 1, 6) rank_biserial from u""")
@@ -100,7 +100,7 @@ def sign_test(t: Tables):
     return s.select("successes", "n", F.round(stats.sign_test(F.col("successes"), F.col("n")), 6).alias("p"))
 
 
-@query("winsorize", f"with {OUTCOMES}, o as (select order_id, line, {_RET} v from outcomes), q as (select quantile_cont(v, 0.01) lo, quantile_cont(v, 0.99) hi from o) select order_id, line, round(least(greatest(v, lo), hi), 6) w from o, q where order_id % 10 = 0")
+@query("winsorize", f"with {OUTCOMES}, o as (select order_id, line, {_RET} v from outcomes), q as (select quantile_cont(v, 0.01) lo, quantile_cont(v, 0.99) hi from o) select order_id, line, round(least(greatest(v, lo), hi), 6) w from o, q")
 def winsorize(t: Tables):
     return stats.winsorize(_outcomes(t), "ret").select("order_id", "line", F.round("winsorized", 6).alias("w"))
 
@@ -135,7 +135,7 @@ def stratified_diff(t: Tables):
     return d.select("stratum", "n1", "n0", *[F.round(c, 6).alias(c) for c in ("median1", "median0", "diff")])
 
 
-@query("underpricing_outcome", f"with {OUTCOMES} select order_id, line, round(close / offer - 1, 6) ret, round((close / offer - 1) * 100, 4) ret_pct from outcomes where line = 1")
+@query("underpricing_outcome", f"with {OUTCOMES} select order_id, line, round(close / offer - 1, 6) ret, round((close / offer - 1) * 100, 4) ret_pct from outcomes")
 def underpricing_outcome(t: Tables):
     r = F.try_divide("close", "offer") - 1
     return t.outcomes.select("order_id", "line", F.round(r, 6).alias("ret"), F.round(r * 100, 4).alias("ret_pct"))

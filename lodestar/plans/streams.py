@@ -28,7 +28,7 @@ def stream_dedupe(t: Tables):
     return st.run_to_table(st.unique_mentions(m.union(m)).select("mention_id", "issuer_id", "source"), "dedupe")
 
 
-@query("stream_entity_state", "select user_id, max(case event_type when 'view' then 0 when 'click' then 1 when 'signup' then 2 when 'purchase' then 3 else -1 end) rank from events where event_id % 7 = 0 group by 1")
+@query("stream_entity_state", "select user_id, max(case event_type when 'view' then 0 when 'click' then 1 when 'signup' then 2 when 'purchase' then 3 else -1 end) rank from events group by 1")
 def stream_entity_state(t: Tables):
     e = st.read_stream(t.spark, f"{t.sf_dir}/events.parquet")
     ranked = e.select("user_id", F.expr("case event_type when 'view' then 0 when 'click' then 1 when 'signup' then 2 when 'purchase' then 3 else -1 end").alias("rank"))
