@@ -21,7 +21,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, in_slices, row_hashes, small, unused
@@ -263,21 +263,29 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
 
     # Second round: pairs of a bucket that no path joins yet. Sets of a bucket's most frequent component need no pairs
     # among themselves, so they are on one side only. A bit that only one first fragment has is an n-gram that the other lacks.
-    at = met.join(info.select("node", "bits").join(roots, "node", "left"), "node").withColumn("root", F.coalesce("root", "node"))
+    at = met.drop("rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = at.groupBy("g", "root").agg(F.count("*").alias("c"), F.min("node").alias("node")).groupBy("g")
     most = of_root.agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("rows"), F.count("*").alias("roots")).where("roots > 1").select("g", "rows", F.col("m.root").alias("major"))
-    at = scratch.save(at.join(most, "g").drop("rank"), "open")
+    # A set's n-grams in these buckets, in their order: the one before, the one after and the number of each.
+    in_set = Window.partitionBy("node").orderBy("pos")
+    at = at.join(most, "g").withColumns({"before": F.lag("g").over(in_set), "after": F.lead("g").over(in_set), "nth": F.row_number().over(in_set)})
+    at = scratch.save(at.join(info.select("node", "bits"), "node"), "open")
     no_bands = F.lit(None).cast("array<bigint>").alias("bands")
     at = at.where(F.col("rows") <= BUCKET).withColumn("bands", no_bands).unionByName(_banded(at.where(F.col("rows") > BUCKET), info, src, words, num, den))
     at = scratch.save(at, "bounded")
-    fields = F.struct("node", "n", "pos", "own", "end", "root", "bits", "bands")
+    fields = F.struct("node", "n", "pos", "own", "end", "root", "bits", "bands", "before", "after", "nth")
     x = at.where("root <> major").select("g", fields.alias("x"))
     y = at.select("g", (F.col("root") == F.col("major")).alias("big"), fields.alias("y"))
     by_position = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     by_band = F.aggregate(F.zip_with("x.bands", "y.bands", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda p, q: p + q)
     can = bounded("x", "y", None) & _enough(F.least(by_position, F.coalesce(by_band, by_position)), F.col("x.n"), F.col("y.n"), num, den)
-    cross = x.join(y, "g").where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & can)
-    cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"), F.max(in_index("x", "y")).alias("index"))
+    # N-grams that follow one another in both sets are a run; a pair is made at a run's first and last n-gram only. The
+    # numbers of these give the run's length. All that two sets of different roots share is in these buckets, so none is left out.
+    starts, ends = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)), F.coalesce(F.col("x.after") != F.col("y.after"), F.lit(True))
+    cross = x.join(y, "g").where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & (starts | ends) & can)
+    nth = F.when(F.col("x.node") < F.col("y.node"), F.col("x.nth")).otherwise(F.col("y.nth"))
+    length = F.when(ends, nth + 1).otherwise(0) - F.when(starts, nth).otherwise(0)
+    cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum(length).alias("c"), F.max(in_index("x", "y")).alias("index"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = scratch.save(counted(cross).join(known, ["a", "b"], "left_anti"), "pairs")
     second = scratch.save(_verify(second, info, src, words, num, den), "links")
