@@ -266,10 +266,11 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     at = met.drop("rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = at.groupBy("g", "root").agg(F.count("*").alias("c"), F.min("node").alias("node")).groupBy("g")
     most = of_root.agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("rows"), F.count("*").alias("roots")).where("roots > 1").select("g", "rows", F.col("m.root").alias("major"))
-    # A set's n-grams in these buckets, in their order: the one before, the one after and the number of each.
+    # A set's n-grams in these buckets, in their order: the one before, the one after and the number of each. All others of
+    # its first fragment are its own, as sets of other roots lack them.
     in_set = Window.partitionBy("node").orderBy("pos")
-    at = at.join(most, "g").withColumns({"before": F.lag("g").over(in_set), "after": F.lead("g").over(in_set), "nth": F.row_number().over(in_set)})
-    at = scratch.save(at.join(info.select("node", "bits"), "node"), "open")
+    at = at.drop("own").join(most, "g").withColumns({"before": F.lag("g").over(in_set), "after": F.lead("g").over(in_set), "nth": F.row_number().over(in_set), "open": F.count("*").over(Window.partitionBy("node"))})
+    at = scratch.save(at.join(info.select("node", "bits", "k"), "node").withColumn("own", F.col("k") - F.col("open")).drop("k", "open"), "open")
     no_bands = F.lit(None).cast("array<bigint>").alias("bands")
     at = at.where(F.col("rows") <= BUCKET).withColumn("bands", no_bands).unionByName(_banded(at.where(F.col("rows") > BUCKET), info, src, words, num, den))
     at = scratch.save(at, "bounded")
