@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, lang_id, mixing, ngram_join, quality, secret_scan, shard, token_count, url_filter
+from . import decontaminate, embed_dedup, fingerprint, lang_id, lexical, mixing, ngram_join, prefix_trie, quality, secret_scan, shard, token_count, url_filter
 from .common import read
 
 # Host, path and verdict of the URL rules.
@@ -72,8 +72,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.graft(prefix_trie.sequences(read(spark, sf_dir, "conversations"))))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_mixing, op2_decontamination, op3_sharding, op4_url_filter, op5_embed_dedup, op6_token_count, op7_ngram_join, op8_language_id, op9_secret_scan, op10_quality)
+    own = (op1_mixing, op2_decontamination, op3_sharding, op4_url_filter, op5_embed_dedup, op6_token_count, op7_ngram_join, op8_language_id, op9_secret_scan, op10_quality, op11_prefix_trie, op12_lexical_search, op13_fingerprints)
     return {f.__name__: f for f in own}
 
 
@@ -95,4 +107,38 @@ l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id an
 c(a, b) as (select vec_id, vec_id from v union select c.a, l.b from c join l on c.b = l.a)
 select vec_id, (select count(*) from l where l.a = v.vec_id) n_links, m.component_id, vec_id = m.component_id kept
 from v join (select a, min(b) component_id from c group by a) m on m.a = v.vec_id"""
-    return {"op4_url_filter": op4, "op5_embed_dedup": op5}
+    # CRC-32 of the id's digits, bit by bit.
+    crc = "(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda r, x: list_reduce(list_prepend(xor(r, x), range(8)), lambda s, i: if(s & 1 = 1, xor(s >> 1, 3988292384), s >> 1))), 4294967295))"
+    op11 = f"""
+with t as (
+  select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) p
+  from conversations where conv_id is not null),
+k as (select c, {crc} % 9 h from (select distinct c from t)),
+b as (
+  select k.c, t.p, t.r, t.x from k join t on t.c = k.c - k.c % 5 and t.p <= h
+  union all select k.c, t.p + least(h, (select count(*) from t s where s.c = k.c - k.c % 5)) - h, t.r, t.x from k join t on t.c = k.c and t.p > h),
+s as (select k.c, coalesce(list({{'r': r, 'x': x}} order by p) filter (where p is not null), []) v from k left join b on b.c = k.c group by k.c),
+m as (select c, v, unnest(range(len(v) + 1)) d from s),
+n as (select d, v[1:d] f, min(c) conv_id, count(*) n_convs, list(c order by c) filter (where len(v) = d) e from m group by d, v[1:d]),
+j as (select a.d, a.f, b.d bd, b.f bf, b.n_convs from n a join n b on b.d >= a.d and b.f[1:a.d] = a.f),
+w as (
+  select d, f, count(*) filter (where bd = d + 1) n_children, sum(case when bd = 0 then 0 else (n_convs - 1) * octet_length(encode(bf[bd].x)) end)::bigint saved_tokens,
+         count(*) filter (where not exists (select 1 from n z where z.d = bd + 1 and z.f[1:bd] = bf)) n_leaves
+  from j group by d, f)
+select n.conv_id, n.d depth, p.conv_id parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(array_to_string(n.e::varchar[], ','), '')) ends_sha256
+from n join w on w.d = n.d and w.f = n.f left join n p on p.d = n.d - 1 and p.f = n.f[1:n.d - 1]"""
+    term = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    op12 = f"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all({low.format('text')}, {term}) t from documents where text is not null),
+g as (select count(*) n, sum(len(t))::bigint l from d where len(t) > 0),
+m as (select r, doc_id, 50 + (50 * len(t) * n) // l m from d, g where len(t) > 0),
+i as (select row_number() over () i, item_id, unnest(list_distinct(regexp_extract_all({low.format('text')}, {term}))) t from benchmark where text is not null),
+x as (select r, t, count(*) tf from (select r, unnest(t) t from d) where t in (select t from i) group by r, t),
+w as (select t, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)))::bigint w from x, g group by t, n),
+s as (
+  select i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint score
+  from i join x using (t) join w using (t) join m using (r) group by i, item_id, r, doc_id)
+select item_id, k::int "rank", doc_id, score
+from (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls last) k from s where score > 0) where k <= 50"""
+    return {"op4_url_filter": op4, "op5_embed_dedup": op5, "op11_prefix_trie": op11, "op12_lexical_search": op12}
