@@ -155,7 +155,9 @@ def _search_block(scratch: Scratch, docs: DataFrame, items: list[tuple[int, str]
     key = (F.col("f.h") == F.col("c.h")) & (F.col("f.m") == F.col("c.m")) & F.col("f.low").eqNullSafe(F.col("c.low"))
     named = scratch.save(classes.alias("c").join(small(found.alias("f")), key).select("at", "score", *[f"c.{c}" for c in same]), "named")
     wanted = named.select(*same).distinct()
-    members = bags.join(small(wanted), same).select("doc_id", *same)
+    # Hashes find the classes' rows, bags are compared where they meet: bags are never broadcast by size of their own.
+    near = bags.join(small(wanted.select("h", "m").distinct()), ["h", "m"], "left_semi")
+    members = near.join(wanted, same).select("doc_id", *same)
     members = members.withColumn("place", F.row_number().over(Window.partitionBy(*same).orderBy(F.asc_nulls_last("doc_id")))).where(F.col("place") <= k)
     back = docs.sparkSession.createDataFrame(list(enumerate(a for a, _ in items)), "at long, item long")
     return named.join(members, same).join(small(back), "at").select("item", "doc_id", "score")
