@@ -8,47 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def kth_value(df: DataFrame, value: str, k: int, gather: int = 10_000):
-    """The k-th smallest value (from 0) of a large column.
-
-    Counts by value are narrowed to the range of the k-th in rounds, each one aggregate over 64 ranges,
-    until at most ``gather`` distinct values are left for the driver.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    inside, below = counts, 0
-    while inside.count() > gather:
-        cuts = sorted(set(inside.agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 10_000)).first()[0]))
-        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_v")))
-        sums = sorted(inside.groupBy(at.alias("_p")).agg(F.sum("_c"), F.count("*")).collect())
-        for part, n, _ in sums:
-            if below + n > k:
-                break
-            below += n
-        inside = inside.where(at == part)
-    for v, c in sorted(inside.collect()):
-        below += c
-        if below > k:
-            return v
-    return None
+from .quantiles import grouped_quantiles, kth_value, quantiles, running_counts, saved
+from .scan import beside
 
 
 def upper_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """sorted[n // 2] of each group, with n: a rank and a filter, no list of the group is gathered."""
+    """sorted[n // 2] of each group, with n: ranks from counts by range of values, no task sorts a group."""
     df = df.where(F.col(value).isNotNull())
     if not by:
         n = df.count()
         return df.sparkSession.createDataFrame([(kth_value(df, value, n // 2), n)], f"upper_median {dict(df.dtypes)[value]}, n long")
-    w = Window.partitionBy(*by).orderBy(value)
-    r = df.withColumns({"_k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))})
-    return r.where(F.col("_k") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(value).alias("upper_median"), "n")
+    ranked = running_counts(saved(df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "median"), by)
+    k = F.floor(F.col("_all") / 2)
+    return ranked.where((F.col("_below") <= k) & (k < F.col("_below") + F.col("_n"))).select(*by, F.col("_v").alias("upper_median"), F.col("_all").alias("n"))
 
 
 def quantile_profile(df: DataFrame, value: str, by: Sequence[str] = (), at: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Interpolated quantiles with n, mean and the distance between the outer two."""
-    q = [F.percentile(value, F.lit(p)).alias(f"q{int(p * 100)}") for p in at]
-    g = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *q)
-    return g.withColumn("iqr", F.col(f"q{int(at[-1] * 100)}") - F.col(f"q{int(at[0] * 100)}"))
+    names = [f"q{int(p * 100)}" for p in at]
+    g = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    if by:
+        q = grouped_quantiles(df, by, {n: (F.col(value), p) for n, p in zip(names, at)}).withColumnsRenamed({c: f"_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        g = g.join(q, same, "left").drop(*[f"_{c}" for c in by])
+    else:
+        found, _ = quantiles(df, {"v": F.col(value)}, at)
+        g = g.withColumns({n: F.lit(v).cast("double") for n, v in zip(names, found["v"])})
+    return g.withColumn("iqr", F.col(names[-1]) - F.col(names[0]))
 
 
 def form_timeline(filings: DataFrame, entity: str, form: str, day: str, families: dict[str, Sequence[str]], start: str, end: str) -> DataFrame:
@@ -129,7 +117,6 @@ def document_frequency(docs: DataFrame, id_: str, tokens: Column, least: int) ->
 
 
 def split_factor(bars: DataFrame, splits: DataFrame, entity: str, day: str, split_day: str, ratio: str) -> DataFrame:
-    """Product of the ratios of all splits after a bar; 1 without any."""
-    s = splits.select(F.col(entity).alias("_e"), F.col(split_day).alias("_d"), F.ln(ratio).alias("_l"))
-    j = bars.join(s, (F.col(entity) == F.col("_e")) & (F.col("_d") > F.col(day)), "left")
-    return j.groupBy(*bars.columns).agg(F.exp(F.coalesce(F.sum("_l"), F.lit(0.0))).alias("split_factor"))
+    """Product of the ratios of all splits after a bar; 1 without any. A scan from the end, in which a day's bars come before its splits."""
+    out = beside(bars, splits, entity, F.col(day), split_day, [ratio], ("sum", F.ln(ratio)), backward=True, targets_first=True)
+    return out.select(*bars.columns, F.exp(F.coalesce("_run", F.lit(0.0))).alias("split_factor"))

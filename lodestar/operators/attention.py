@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import months_between
+from .quantiles import grouped_quantiles, quantiles
 from .timeseries import forward_return
 
 
@@ -63,7 +64,9 @@ def floor_ladder(ratios: DataFrame, floors: Sequence[int]) -> DataFrame:
     """The share that rose and the median ratio among entities whose baseline reaches each floor."""
     x = ratios.where(F.col("base_months") > 0).where("base is not null").withColumn("floor_views", F.explode(F.array(*[F.lit(f) for f in floors]))).where(F.col("base") >= F.col("floor_views"))
     x = x.where("base_months >= 2")
-    return x.groupBy("floor_views").agg(F.count("*").alias("entities"), F.count_if(F.col("ratio") > 1).alias("rose"), F.round(F.percentile("ratio", F.lit(0.5)), 4).alias("median_ratio"))
+    g = x.groupBy("floor_views").agg(F.count("*").alias("entities"), F.count_if(F.col("ratio") > 1).alias("rose"))
+    median = grouped_quantiles(x, ["floor_views"], {"median_ratio": (F.col("ratio"), 0.5)})
+    return g.join(median, "floor_views", "left").select("floor_views", "entities", "rose", F.round("median_ratio", 4).alias("median_ratio"))
 
 
 def balanced_windows(anchors: DataFrame, monthly: DataFrame, entity: str, anchor: str, month: str, value: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
@@ -72,8 +75,11 @@ def balanced_windows(anchors: DataFrame, monthly: DataFrame, entity: str, anchor
     w = j.groupBy(entity).agg(*[F.avg(F.when(F.col("rel").between(*b), F.col("value"))).alias(n) for n, b in windows.items()]).dropna(subset=list(windows))
     first, *rest = windows
     w = w.where(F.col(first) > 0)
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    return w.agg(F.count("*").alias("entities"), *[F.round(median(F.col(n)), 4).alias(n) for n in windows], *[F.round(median(F.col(n) / F.col(first)), 6).alias(f"{n}_ratio") for n in rest])
+    columns = {n: F.col(n) for n in windows} | {f"{n}_ratio": F.col(n) / F.col(first) for n in rest}
+    medians, sizes = quantiles(w, columns, [0.5])
+    row = [(sizes[first], *[medians[n][0] for n in columns])]
+    out = w.sparkSession.createDataFrame(row, "entities long, " + ", ".join(f"`{n}` double" for n in columns))
+    return out.select("entities", *[F.round(n, 4 if n in windows else 6).alias(n) for n in columns])
 
 
 def relative_share(anchors: DataFrame, monthly: DataFrame, entity: str, anchor: str, month: str, value: str, span: tuple[int, int]) -> DataFrame:
@@ -111,14 +117,20 @@ def compare_counts(df: DataFrame, pre: str, post: str, pre_exact: str, post_exac
 
 
 def bucket_windows(events: DataFrame, points: DataFrame, entity: str, event_day: str, at: str, days: int) -> DataFrame:
-    """Counts in the days before and after the event day, which is in neither, and whether points reach that far back."""
+    """Counts in the days before and after the event day, which is in neither, and whether points reach that far back.
+
+    Points are counted a day first. An event is spread over its days and meets those counts on (entity, day); how far
+    back an entity goes is one row of it.
+    """
     p = points.groupBy(F.col(entity).alias("_e"), F.to_date(at).alias("_d")).agg(F.count("*").alias("_n"))
-    j = events.join(p, F.col(entity) == F.col("_e"), "left")
-    d = F.datediff(F.col("_d"), F.col(event_day))
-    return j.groupBy(*events.columns).agg(
-        F.coalesce(F.sum(F.when(d.between(-days, -1), F.col("_n"))), F.lit(0)).alias("pre_count"), F.coalesce(F.sum(F.when(d.between(1, days), F.col("_n"))), F.lit(0)).alias("post_count"),
-        (F.min(d) <= -days).alias("pre_complete"), (F.min(d) <= 0).alias("post_complete"),
-    )
+    off = F.explode(F.sequence(F.lit(-days), F.lit(days)))
+    spread = events.select(*events.columns, off.alias("_off")).withColumn("_day", F.date_add(event_day, F.col("_off")))
+    met = spread.join(p, (F.col(entity) == F.col("_e")) & (F.col("_day") == F.col("_d")), "left")
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    counted = met.groupBy(*events.columns).agg(part(F.col("_off") < 0).alias("pre_count"), part(F.col("_off") > 0).alias("post_count"))
+    oldest = p.groupBy(F.col("_e").alias("_o")).agg(F.min("_d").alias("_oldest"))
+    gap = F.datediff("_oldest", F.col(event_day))
+    return counted.join(oldest, F.col(entity) == F.col("_o"), "left").select(*counted.columns, (gap <= -days).alias("pre_complete"), (gap <= 0).alias("post_complete"))
 
 
 def censored_density(df: DataFrame, count: str, covered: str, expected: Column, budget: int, least: float = 0.2) -> DataFrame:

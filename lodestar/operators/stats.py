@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.workspace import folder
+from .quantiles import grouped_quantiles, quantiles
 from .timeseries import average_rank, value_ranks
 
 
@@ -122,8 +123,8 @@ def fisher_interval(rho: Column, n: Column) -> tuple[Column, Column]:
 
 def winsorize(df: DataFrame, value: str, lo: float = 0.01, hi: float = 0.99, name: str = "winsorized") -> DataFrame:
     """Adds the value clipped to its interpolated quantiles."""
-    b = df.agg(F.percentile(value, F.lit(lo)).alias("_lo"), F.percentile(value, F.lit(hi)).alias("_hi"))
-    return df.crossJoin(F.broadcast(b)).withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.greatest(value, "_lo"), F.col("_hi")))).drop("_lo", "_hi")
+    low, high = quantiles(df, {"v": F.col(value)}, [lo, hi])[0]["v"]
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(low).cast("double")), F.lit(high).cast("double"))))
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], dummies: dict[str, Sequence] | None = None, cluster: str | None = None) -> DataFrame:
@@ -171,6 +172,9 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], dummies: dict[str, Sequence] |
 
 def stratified_difference(df: DataFrame, stratum: Column, flag: str, value: str) -> DataFrame:
     """Medians of both groups in each stratum and their difference; null where a side is empty."""
-    med = lambda k: F.percentile(F.when(F.col(flag) == k, F.col(value)), F.lit(0.5))
-    g = df.groupBy(stratum.alias("stratum")).agg(F.count_if(F.col(flag) == 1).alias("n1"), F.count_if(F.col(flag) == 0).alias("n0"), med(1).alias("median1"), med(0).alias("median0"))
-    return g.withColumn("diff", F.col("median1") - F.col("median0"))
+    d = df.select(stratum.alias("stratum"), F.col(flag).alias("_f"), F.col(value).alias("_v"))
+    g = d.groupBy("stratum").agg(F.count_if(F.col("_f") == 1).alias("n1"), F.count_if(F.col("_f") == 0).alias("n0"))
+    of = lambda k: (F.when(F.col("_f") == k, F.col("_v")), 0.5)
+    q = grouped_quantiles(d, ["stratum"], {"median1": of(1), "median0": of(0)}).withColumnRenamed("stratum", "_s")
+    out = g.join(q, F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return out.withColumn("diff", F.col("median1") - F.col("median0"))

@@ -8,22 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of values that global ranks are summed up in.
-RANK_PARTS = 64
+from .quantiles import running_counts, saved
+from .scan import beside, month, running
 
 
 def forward_return(bars: DataFrame, entity: str = "issuer_id", day: str = "day", close: str = "close") -> DataFrame:
-    """Adds next_close and next_return; rows without a positive close leave before the window looks ahead."""
-    w = Window.partitionBy(entity).orderBy(day)
-    return bars.where(F.col(close) > 0).withColumn("next_close", F.lead(close).over(w)).withColumn("next_return", F.col("next_close") / F.col(close) - 1)
+    """Adds next_close and next_return; rows without a positive close leave before the scan looks ahead."""
+    out = running(bars.where(F.col(close) > 0), entity, month(F.col(day)), [day], {"next_close": ("last", F.col(close))}, backward=True, upto=-1)
+    return out.withColumn("next_return", F.col("next_close") / F.col(close) - 1)
 
 
 def sessions(bars: DataFrame, entity: str = "issuer_id", day: str = "day", close: str = "close", within: int = 90) -> DataFrame:
     """Adds session (0 from the first traded day), first_day, in_window, since_first and month_end."""
-    w = Window.partitionBy(entity).orderBy(day)
-    month = Window.partitionBy(entity, F.trunc(day, "MM"))
-    out = bars.withColumns({"session": F.row_number().over(w) - 1, "first_day": F.first(day).over(w), "since_first": F.col(close) / F.first(close).over(w) - 1})
-    return out.withColumns({"in_window": F.col("session") < within, "month_end": F.col("session") == F.max("session").over(month)})
+    runs = {"_n": ("sum", F.lit(1)), "_first": ("first", F.struct(F.col(day).alias("day"), F.col(close).alias("close")))}
+    out = running(bars, entity, month(F.col(day)), [day], runs)
+    out = out.withColumns({"session": F.col("_n") - 1, "first_day": F.col("_first.day"), "since_first": F.col(close) / F.col("_first.close") - 1}).drop("_n", "_first")
+    whole = Window.partitionBy(entity, F.trunc(day, "MM"))
+    return out.withColumns({"in_window": F.col("session") < within, "month_end": F.col("session") == F.max("session").over(whole)})
 
 
 def horizon_returns(bars: DataFrame, horizons: Sequence[int], entity: str = "issuer_id", day: str = "day", close: str = "close") -> DataFrame:
@@ -33,23 +34,20 @@ def horizon_returns(bars: DataFrame, horizons: Sequence[int], entity: str = "iss
 
 
 def asof_forward(targets: DataFrame, series: DataFrame, entity: str, target: str, day: str, value: str, reach: int | None = None) -> DataFrame:
-    """First value at or after each target; null unless the series extends to the target.
+    """First value at or after each target, within ``reach`` days if given; null unless the series extends to the target.
 
-    An interval join is bound by ``reach`` days; without it, by the entity. Targets with no later row
-    stay. ``targets`` keeps its columns; asof_day and asof_value are added.
+    One scan over both sides, from the end: linear in their rows. ``targets`` keeps its columns and rows; asof_day and asof_value are added.
     """
-    s = series.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), F.col(value).alias("_v"))
-    on = (F.col(entity) == F.col("_e")) & (F.col("_d") >= F.col(target))
-    if reach is not None:
-        on = on & (F.col("_d") <= F.date_add(F.col(target), reach))
-    return targets.join(s, on, "left").groupBy(*targets.columns).agg(F.min("_d").alias("asof_day"), F.min_by("_v", "_d").alias("asof_value"))
+    found = ("last", F.struct(F.col(day).alias("d"), F.col(value).alias("v")))
+    out = beside(targets, series, entity, F.col(target), day, [value], found, backward=True)
+    near = F.lit(True) if reach is None else F.col("_run.d") <= F.date_add(F.col(target), reach)
+    return out.select(*targets.columns, F.when(near, F.col("_run.d")).alias("asof_day"), F.when(near, F.col("_run.v")).alias("asof_value"))
 
 
 def asof_backward(targets: DataFrame, series: DataFrame, entity: str, target: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Last row of the series at or before each target, by ``order`` (first a date or time, then ties)."""
-    s = series.select(F.col(entity).alias("_e"), F.struct(*order).alias("_o"), F.col(order[0]).alias("_t"), F.struct(*values).alias("_v"))
-    out = targets.join(s, (F.col(entity) == F.col("_e")) & (F.col("_t") <= F.col(target)), "left").groupBy(*targets.columns).agg(F.max_by("_v", "_o").alias("_v"))
-    return out.select(*targets.columns, *[F.col(f"_v.{v}").alias(f"asof_{v}") for v in values])
+    """Last row of the series at or before each target, by ``order`` (first a date or time, then ties): one scan over both sides."""
+    out = beside(targets, series, entity, F.col(target), order[0], list(order[1:]), ("last", F.struct(*values)))
+    return out.select(*targets.columns, *[F.col(f"_run.{v}").alias(f"asof_{v}") for v in values])
 
 
 def asof_nearest(targets: DataFrame, series: DataFrame, entity: str, target: str, day: str, key: str, within: int) -> DataFrame:
@@ -63,10 +61,10 @@ def asof_nearest(targets: DataFrame, series: DataFrame, entity: str, target: str
 
 def asof_slack(targets: DataFrame, series: DataFrame, entity: str, target: str, day: str, value: str, lead: int = 2, most: int = 7) -> DataFrame:
     """First non-null value from ``lead`` days before the target on; null if over ``most`` days away."""
-    s = series.where(F.col(value).isNotNull()).select(F.col(entity).alias("_e"), F.col(day).alias("_d"), F.col(value).alias("_v"))
-    out = targets.join(s, (F.col(entity) == F.col("_e")) & (F.col("_d") >= F.date_sub(F.col(target), lead)), "left").groupBy(*targets.columns).agg(F.min("_d").alias("_d"), F.min_by("_v", "_d").alias("_v"))
-    near = F.abs(F.datediff("_d", F.col(target))) <= most
-    return out.select(*targets.columns, F.when(near, F.col("_d")).alias("slack_day"), F.when(near, F.col("_v")).alias("slack_value"))
+    found = ("last", F.struct(F.col(day).alias("d"), F.col(value).alias("v")))
+    out = beside(targets, series.where(F.col(value).isNotNull()), entity, F.date_sub(F.col(target), lead), day, [value], found, backward=True)
+    near = F.abs(F.datediff("_run.d", F.col(target))) <= most
+    return out.select(*targets.columns, F.when(near, F.col("_run.d")).alias("slack_day"), F.when(near, F.col("_run.v")).alias("slack_value"))
 
 
 def window_counts(events: DataFrame, points: DataFrame, entity: str, at: str, day: str, before: int, after: int) -> DataFrame:
@@ -98,24 +96,17 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
 
 def value_ranks(counts: DataFrame, name: str = "avg_rank") -> DataFrame:
     """Adds the average rank to distinct values ``_v`` that occur ``_n`` times each."""
-    # Cuts of the value range, a bounded list; any cuts give the same ranks.
-    cuts = counts.agg(F.percentile_approx("_v", [i / RANK_PARTS for i in range(1, RANK_PARTS)])).first()[0] or []
-    at = sum(((F.lit(c) < F.col("_v")).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    ranged = counts.withColumn("_p", at)
-    before = ranged.groupBy("_p").agg(F.sum("_n").alias("_s"))
-    before = before.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = ranged.withColumn("_i", inner).join(F.broadcast(before), "_p")  # a row a range
-    return out.withColumn(name, (F.col("_b") + F.col("_i") + (F.col("_n") + 1) / 2).cast("double")).select(*counts.columns, name)
+    out = running_counts(saved(counts, "ranks"))
+    return out.withColumn(name, (F.col("_below") + (F.col("_n") + 1) / 2).cast("double")).select(*counts.columns, name)
 
 
 def interval_union_days(intervals: DataFrame, entity: str, lo: str, hi: str) -> DataFrame:
     """Days covered by an entity's half-open intervals [lo, hi), overlaps once; empty ones count nothing."""
-    w = Window.partitionBy(entity).orderBy(lo, hi)
-    x = intervals.where(F.col(hi) > F.col(lo)).withColumn("_reach", F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach")), 1).otherwise(0)).withColumn("_isle", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isles = x.groupBy(entity, "_isle").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
-    return isles.groupBy(entity).agg(F.sum(F.datediff("_hi", "_lo")).alias("covered_days"), F.count("*").alias("islands"))
+    x = running(intervals.where(F.col(hi) > F.col(lo)), entity, month(F.col(lo)), [lo, hi], {"_reach": ("max", F.col(hi))}, upto=-1)
+    # What an interval adds lies beyond all before it; an isle begins where it doesn't touch them.
+    adds = F.greatest(F.lit(0), F.datediff(F.col(hi), F.greatest(F.col(lo), F.col("_reach"))))
+    begins = F.col("_reach").isNull() | (F.col(lo) > F.col("_reach"))
+    return x.groupBy(entity).agg(F.sum(adds).alias("covered_days"), F.count_if(begins).alias("islands"))
 
 
 def sliding_count(df: DataFrame, entity: str, ts: str, seconds: int) -> Column:

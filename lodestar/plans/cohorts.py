@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg, cohort
+from ..operators.quantiles import grouped_quantiles
 from .bindings import BARS, CENSUS, FILINGS, LISTINGS, MENTIONS, MONTHLY, OUTCOMES, Tables
 from .registry import query
 
@@ -307,5 +308,6 @@ def attrition_report(t: Tables):
     form = F.col("form")
     s = t.filings.groupBy("issuer_id").agg(F.count("*").alias("n"), F.max((form == "424B4").cast("int")).alias("priced"), F.max((form == "DRS").cast("int")).alias("drs"))
     state = cohort.first_reason(("not_priced", F.col("priced") == 0), ("no_article", F.col("drs") == 0), ("thin", F.col("n") < 8), otherwise="kept")
-    g = s.groupBy(state.alias("state")).agg(F.count("*").alias("rows"), F.round(F.percentile("n", F.lit(0.5)), 4).alias("median_filings"), F.round(F.avg("drs"), 6).alias("treated_rate"))
+    s = s.withColumn("state", state)
+    g = s.groupBy("state").agg(F.count("*").alias("rows"), F.round(F.avg("drs"), 6).alias("treated_rate")).join(grouped_quantiles(s, ["state"], {"median_filings": (F.col("n"), 0.5)}), "state").withColumn("median_filings", F.round("median_filings", 4))
     return agg.share_of(g, "rows", [F.lit(0)]).select("state", F.col("rows").alias("n"), "share", "median_filings", "treated_rate")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import dates
 from ..operators import paging, timeseries as ts
+from ..operators.scan import month, running
 from .bindings import BARS, FILINGS, LISTINGS, MENTIONS, Tables
 from .registry import query
 
@@ -158,5 +158,5 @@ def topk_attention(t: Tables):
 
 @query("latest_session_gap", f"with {BARS} select issuer_id, max(day) last_day, max(gap)::int longest_gap from (select issuer_id, day, day - lag(day) over (partition by issuer_id order by day) gap from bars) group by 1")
 def latest_session_gap(t: Tables):
-    w = Window.partitionBy("issuer_id").orderBy("day")
-    return t.bars.withColumn("gap", F.datediff("day", F.lag("day").over(w))).groupBy("issuer_id").agg(F.max("day").alias("last_day"), F.max("gap").alias("longest_gap"))
+    b = running(t.bars, "issuer_id", month(F.col("day")), ["day"], {"before": ("last", F.col("day"))}, upto=-1)
+    return b.groupBy("issuer_id").agg(F.max("day").alias("last_day"), F.max(F.datediff("day", "before")).alias("longest_gap"))
