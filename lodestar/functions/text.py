@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from .names import squeeze
 
+
 @F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """All named and numeric entities as the characters they stand for."""
@@ -24,9 +25,9 @@ def normalize_text(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Scripts and styles out, block ends as line ends, tags off, entities decoded, blanks squeezed."""
+    """Scripts and styles out, ends of blocks and table cells as line ends, tags off, entities decoded, blanks squeezed."""
     s = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    s = F.regexp_replace(s, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|article|section|header|footer|nav|title)\s*>", "\n")
+    s = F.regexp_replace(s, r"(?i)<br\s*/?>|</(p|div|td|th|tr|li|h[1-6]|table|article|section|header|footer|nav|title)\s*>", "\n")
     s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
     s = unescape(s)
     s = F.regexp_replace(s, r"[ \t\r\f\x{00A0}\x{2000}-\x{200A}\x{3000}]+", " ")
@@ -34,9 +35,10 @@ def html_to_text(c: Column) -> Column:
 
 
 def anchor_window(text: Column, anchors: dict[str, int], window: int, within: int = 120_000) -> Column:
-    """A stretch of the text around its strongest anchor, the earliest of equals; null without any."""
-    head = F.lower(F.substring(text, 1, within))
-    found = [F.when(F.locate(a.lower(), head) > 0, F.struct(F.lit(w).alias("w"), (-F.locate(a.lower(), head)).alias("p"))) for a, w in anchors.items()]
+    """A stretch of the text around its strongest anchor, a pattern in any case; the earliest of equals; null without any."""
+    head = F.substring(text, 1, within)
+    at = [(F.regexp_instr(head, F.lit(f"(?i){a}")), w) for a, w in anchors.items()]
+    found = [F.when(p > 0, F.struct(F.lit(w).alias("w"), (-p).alias("p"))) for p, w in at]
     best = F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))
     return F.when(best.isNotNull(), F.substring(text, F.greatest(F.lit(1), -best["p"] - window // 4), F.lit(window)))
 

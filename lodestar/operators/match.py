@@ -25,15 +25,15 @@ ACCEPT, REVIEW = 0.70, 0.45
 
 
 def generate_aliases(issuers: DataFrame, common: DataFrame, id_: str = "issuer_id", name: str = "legal_name", ticker: str = "ticker") -> DataFrame:
-    """Rows (issuer, alias, kind): the name as filed, without legal suffixes, its first word, its cashtag.
+    """Rows (issuer, alias, kind): the name without legal suffixes, its first word, its cashtag.
 
     The first word is a brand only if it isn't the whole name, has four letters, isn't generic and
     isn't in ``common`` (column token).
     """
-    full, cut = normalize_text(F.col(name)), company_key(F.col(name))
+    cut = company_key(F.col(name))
     brand = F.substring_index(cut, " ", 1)
     kinds = F.array(
-        F.struct(full.alias("alias"), F.lit("legal").alias("kind")), F.struct(cut.alias("alias"), F.lit("legal").alias("kind")),
+        F.struct(cut.alias("alias"), F.lit("legal").alias("kind")),
         F.struct(F.when((brand != cut) & (F.length(brand) >= 4) & ~brand.isin(GENERIC), brand).alias("alias"), F.lit("brand").alias("kind")),
         F.struct(F.concat(F.lit("$"), F.lower(ticker)).alias("alias"), F.lit("cashtag").alias("kind")),
     )

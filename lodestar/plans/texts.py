@@ -22,7 +22,7 @@ def normalize_text(t: Tables):
 # Aliases: the first one to three tokens of the benchmark items.
 _TOKS = f"string_split({_NT.format(c='text')}, ' ')"
 _ALIAS = f"a as (select distinct item_id issuer_id, array_to_string(({_TOKS})[1:k], ' ') alias, case k when 1 then 'brand' when 2 then 'legal' else 'informal' end kind from benchmark, (values (1), (2), (3)) v(k) where len({_TOKS}) >= k)"
-_GRAMS = f"d as (select doc_id, {_TOKS} w from documents where doc_id % 1 = 0), g as (select distinct doc_id, array_to_string(w[i:i + k - 1], ' ') g from (select doc_id, w, unnest(generate_series(1, len(w))) i from d), (values (1), (2), (3)) v(k) where i + k - 1 <= len(w))"
+_GRAMS = f"d as (select doc_id, {_TOKS} w from documents), g as (select distinct doc_id, array_to_string(w[i:i + k - 1], ' ') g from (select doc_id, w, unnest(generate_series(1, len(w))) i from d), (values (1), (2), (3)) v(k) where i + k - 1 <= len(w))"
 
 
 def _aliases(t: Tables):
@@ -80,7 +80,7 @@ _NM = "p_name || case p_partkey % 4 when 0 then ', Inc.' when 1 then ' Group' el
 
 @query("generate_aliases", f"""
 with i as (select p_partkey issuer_id, {_NM} n, 'T' || p_partkey tick from part), k as (select *, {_NT.format(c='n')} f, trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(n), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '^(.+?)(?: (?:{SUFFIX_SQL}))+$', '\\1')) c from i)
-select distinct * from (select issuer_id, f alias, 'legal' kind from k union all select issuer_id, c, 'legal' from k union all select issuer_id, split_part(c, ' ', 1), 'brand' from k where split_part(c, ' ', 1) <> c and length(split_part(c, ' ', 1)) >= 4 and split_part(c, ' ', 1) not in ('green') union all select issuer_id, '$' || lower(tick), 'cashtag' from k)""")
+select distinct * from (select issuer_id, c alias, 'legal' kind from k union all select issuer_id, split_part(c, ' ', 1), 'brand' from k where split_part(c, ' ', 1) <> c and length(split_part(c, ' ', 1)) >= 4 and split_part(c, ' ', 1) not in ('green') union all select issuer_id, '$' || lower(tick), 'cashtag' from k)""")
 def generate_aliases(t: Tables):
     i = t.part.select(F.col("p_partkey").alias("issuer_id"), F.expr(_NM).alias("legal_name"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("ticker"))
     common = t.part.where("p_name like 'green%'").select(F.substring_index("p_name", " ", 1).alias("token"))
@@ -124,7 +124,9 @@ def defunct_before(t: Tables):
     return t.orders.select("o_orderkey", tx.defunct_before(note, F.lit(1998)).alias("defunct"))
 
 
-@query("extract_terms")
+@query("extract_terms", """
+select page_id, case when k > 0 then k end::decimal(12,4) low, case when k > 0 then k + 2 end::decimal(12,4) high, case when k = 0 then 2 end::decimal(12,4) final, 'disclosed' disclosure,
+  case when k > 0 then 'range_between' else 'single_per_share' end method, case when k > 0 then 0.9 else 0.7 end::decimal(3,2) confidence from (select page_id, page_id % 40 k from pages)""")
 def extract_terms(t: Tables):
     body = tx.html_to_text(F.col("html"))
     offer = F.concat(F.lit("The initial public offering price is expected to be between $"), (F.col("page_id") % 40).cast("string"), F.lit(" and $"), (F.col("page_id") % 40 + 2).cast("string"), F.lit(" per share.\n"))
@@ -132,8 +134,15 @@ def extract_terms(t: Tables):
     return p.select("page_id", extract.price_terms(F.col("text"), extract.cover("text")).alias("x")).select("page_id", "x.*")
 
 
-@query("dictionary_extract")
+@query("dictionary_extract", """
+with p as (select page_id, page_id % 3 h, unnest([page_id % 7, page_id % 11, 1]) k, unnest(['cell', 'cell', 'end']) kind from pages),
+b as (select page_id, coalesce(s_name, (select s_name from supplier where regexp_replace(s_name, '#0*', ' ') = 'Supplier ')) bank, case when kind = 'cell' and h = 0 then 'lead' when kind = 'cell' and h = 1 then 'co_manager' end "role", case kind when 'cell' then 0.9 else 0.6 end::double confidence
+  from p left join supplier on regexp_replace(s_name, '#0*', ' ') = 'Supplier ' || k)
+select page_id, bank, arg_max("role", confidence) "role", max(confidence) confidence from (select page_id, bank, max("role") "role", confidence from b group by all) group by 1, 2""")
 def dictionary_extract(t: Tables):
     banks = t.supplier.select(F.col("s_name").alias("bank"), F.regexp_replace("s_name", "#0*", " ").alias("surface"))
-    lines = F.concat(F.lit("Joint book-running managers\n"), F.regexp_replace(F.concat(F.lit("Supplier "), (F.col("page_id") % 12).cast("string")), "$", ""), F.lit("\nThe date of this prospectus is today\n"), tx.html_to_text(F.col("html")))
-    return extract.syndicate(t.pages.select("page_id", lines.alias("text")), banks, "page_id", "text")
+    header = F.element_at(F.array(*[F.lit(x) for x in ("Joint book-running managers", "Co-managers", "Underwriters")]), (F.col("page_id") % 3 + 1).cast("int"))
+    cell = lambda n: F.concat(F.lit("<td>Supplier "), (F.col("page_id") % n).cast("string"), F.lit("</td>"))
+    row = F.concat(F.lit("<p>"), header, F.lit("</p><table><tr>"), cell(7), cell(11), F.lit("</tr></table>"))
+    end = F.concat(F.lit("<p>"), F.repeat(F.lit("We sell shares. "), F.lit(30)), F.lit("</p><p>Supplier 1</p><p>The date of this prospectus is today</p>"))
+    return extract.syndicate(t.pages.select("page_id", tx.html_to_text(F.concat(row, end, "html")).alias("text")), banks, "page_id", "text")

@@ -147,6 +147,14 @@ def test_ols_recovers_coefficients(spark):
         ("Public offering price\n$\n12.50", ("disclosed", None, None, 12.5)),
         ("assumed initial public offering price", ("not_yet_disclosed", None, None, None)),
         ("nothing here", ("not_found", None, None, None)),
+        # The phrase may stand before another amount, or after the price.
+        ("the public offering price is not $0.10 but $2.00 per share", ("disclosed", None, None, 2)),
+        ("we sell at $3.50 per share, which is the price to the public", ("disclosed", None, None, 3.5)),
+        ("warrants at $3.50 per share" + " x" * 200 + " offering price per", ("not_found", None, None, None)),
+        # Out of bounds: under 1, over 500.
+        ("public offering price of $0.50 per share", ("not_found", None, None, None)),
+        ("public offering price of $501.00 per share", ("not_found", None, None, None)),
+        ("public offering price of $500.00 per share", ("disclosed", None, None, 500)),
     ],
 )
 def test_price_terms(spark, body, want):
@@ -154,11 +162,71 @@ def test_price_terms(spark, body, want):
     assert (r.disclosure, *[None if v is None else float(v) for v in (r.low, r.high, r.final)]) == want
 
 
-def test_syndicate(spark):
-    banks = spark.createDataFrame([("Goldman Sachs & Co. LLC", "goldman sachs"), ("Morgan Stanley", "morgan stanley"), ("Stanley", "stanley")], "bank string, surface string")
-    docs = spark.createDataFrame([(1, "x\nJoint Book-Running Managers\nGoldman Sachs & Co. LLC\nMorgan Stanley\n\nThe date of this prospectus is May 1"), (2, None)], "id long, t string")
-    got = {(r.bank, r.confidence) for r in extract.syndicate(docs, banks, "id", "t").collect()}
-    assert got == {("Goldman Sachs & Co. LLC", 0.9), ("Morgan Stanley", 0.9)}
+BANKS = [("Goldman Sachs & Co. LLC", "goldman sachs"), ("Morgan Stanley", "morgan stanley"), ("Stanley", "stanley"), ("BofA Securities", "bofa securities")]
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("x\nJoint Book-Running Managers\nGoldman Sachs & Co. LLC\nMorgan Stanley\n\nThe date of this prospectus is May 1", {("Goldman Sachs & Co. LLC", "lead", 0.9), ("Morgan Stanley", "lead", 0.9)}),
+        ("Co-Managers\n* BofA Securities |", {("BofA Securities", "co_manager", 0.9)}),
+        ("Underwriters\nBofA Securities", {("BofA Securities", None, 0.9)}),
+        ("placement agent\nBofA Securities", {("BofA Securities", None, 0.9)}),
+        ("SOLE  Placement\nAgent\nBofA Securities", {("BofA Securities", "lead", 0.9)}),
+        ("BofA Securities\nProspectus dated May 1", {("BofA Securities", None, 0.6)}),
+        ("Goldman Sachs\n" + "x " * 100_000 + "\nBofA Securities\nthe date of\nthis prospectus is now", {("BofA Securities", None, 0.6)}),
+        # The first block that holds a bank gives its role; one of a long line isn't a bank's cell.
+        ("Lead Manager\nMorgan Stanley\nCo-manager\nMorgan Stanley\nBofA Securities " + "and others " * 9, {("Morgan Stanley", "lead", 0.9)}),
+        ("Lead Manager" + " " * 2 + "y" * 500 + "\nBofA Securities", set()),
+        (None, set()),
+        ("", set()),
+    ],
+)
+def test_syndicate(spark, body, want):
+    banks = spark.createDataFrame(BANKS, "bank string, surface string")
+    got = extract.syndicate(spark.createDataFrame([(1, body)], "id long, t string"), banks, "id", "t").collect()
+    assert {(r.bank, r.role, r.confidence) for r in got} == want and len(got) == len(want)
+
+
+def test_banks_of_one_table_row(spark):
+    page = "<p>Joint book-running managers</p><table><tr><td>Goldman Sachs</td><th>Morgan Stanley</th><td>BofA Securities</td></tr></table>"
+    docs = spark.createDataFrame([(1, page)], "id long, h string").select("id", text.html_to_text(F.col("h")).alias("t"))
+    got = extract.syndicate(docs, spark.createDataFrame(BANKS, "bank string, surface string"), "id", "t").collect()
+    assert {r.bank for r in got} == {"Goldman Sachs & Co. LLC", "Morgan Stanley", "BofA Securities"} and {r.role for r in got} == {"lead"}
+
+
+def test_cover_is_the_first_of_the_strongest_phrases(spark):
+    first = "The date of this prospectus is May 1. Shares at a fixed price of $5.00 per share. "
+    late = "initial public offering price of $9.00 per share"
+    rows = [(1, first + "z " * 12_000 + late), (2, "q" * 30_000 + " Underwriting discount and commissions " + "q" * 30_000 + " we are offering "), (3, "nothing"), (4, "per share \n\n total")]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", extract.cover("t").alias("c"), extract.price_terms(F.col("t"), extract.cover("t")).alias("x"))
+    got = {r.id: r for r in df.collect()}
+    assert got[1].c.startswith("The date") and float(got[1].x.final) == 5.0
+    assert got[2].c.index("Underwriting") == 5000 and got[3].c == "nothing" and got[4].c == "per share \n\n total"
+
+
+def test_html_to_text_against_a_plain_version(spark):
+    """Every page of the smallest tables, and some odd ones."""
+    import html
+    import re
+
+    odd = [None, "", "<td>a</td><td>b</td>", "a<br/>b&amp;&#233;&#x4E2D;&nbsp;c", "<SCRIPT x>if (a<b)</SCRIPT >t<style>p{}</style>u", "<p>a</p>\n \n<p> b</p>", "&lt;td&gt;"]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").union(spark.createDataFrame([(x,) for x in odd], "html string"))
+
+    def plain(x):
+        x = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", x)
+        x = re.sub(r"(?i)<br\s*/?>|</(p|div|td|th|tr|li|h[1-6]|table|article|section|header|footer|nav|title)\s*>", "\n", x)
+        x = html.unescape(re.sub(r"(?s)<[^>]*>", " ", x))
+        return re.sub(r" *\n[ \n]*", "\n", re.sub("[ \t\r\f\u00a0\u2000-\u200a\u3000]+", " ", x)).strip(" \n")
+
+    for r in pages.select("html", text.html_to_text(F.col("html")).alias("t")).collect():
+        assert r.t == (None if r.html is None else plain(r.html))
+
+
+def test_one_legal_alias(spark):
+    issuers = spark.createDataFrame([(1, "First Breach, Inc.", "BRCH"), (2, "Electra Therapeutics, Inc.", None)], "issuer_id long, legal_name string, ticker string")
+    got = {tuple(r) for r in match.generate_aliases(issuers, spark.createDataFrame([("first",)], "token string")).collect()}
+    assert got == {(1, "first breach", "legal"), (1, "$brch", "cashtag"), (2, "electra therapeutics", "legal"), (2, "electra", "brand")}
 
 
 def test_retention(spark):
