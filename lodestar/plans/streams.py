@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import match
-from ..streaming import streams as st
+from ..streaming import stateful, streams as st
 from .bindings import MENTIONS, Tables
 from .registry import query
 from .texts import _ALIAS, _GRAMS, _aliases
@@ -16,10 +16,10 @@ def _mentions(t: Tables):
     return e.where(F.col("event_type").isin("view", "click", "error")).select(F.col("event_id").alias("mention_id"), F.col("user_id").alias("issuer_id"), F.col("event_type").alias("source"), F.col("ts").alias("posted_at"), F.col("value").alias("engagement"), F.floor("value").alias("author"))
 
 
-@query("stream_mention_daily", f"with {MENTIONS} select issuer_id, source, posted_at::date as day, count(*) mention_count, round(sum(engagement), 6) engagement from mentions where posted_at::date + interval 1 day <= (select max(posted_at) from mentions) - interval 7 day group by 1, 2, 3")
+@query("stream_mention_daily", f"with {MENTIONS} select issuer_id, source, posted_at::date as day, count(*) mention_count, round(sum(engagement), 6) engagement, count(distinct floor(engagement)) unique_authors from mentions where posted_at::date + interval 1 day <= (select max(posted_at) from mentions) - interval 7 day group by 1, 2, 3")
 def stream_mention_daily(t: Tables):
     out = st.run_to_table(st.daily_rollup(st.unique_mentions(_mentions(t))), "rollup")
-    return out.select("issuer_id", "source", "day", "mention_count", F.round("engagement", 6).alias("engagement"))
+    return out.select("issuer_id", "source", "day", "mention_count", F.round("engagement", 6).alias("engagement"), "unique_authors")
 
 
 @query("stream_dedupe", f"with {MENTIONS} select mention_id, issuer_id, source from mentions")
@@ -44,12 +44,28 @@ def stream_enrich(t: Tables):
     return st.run_to_table(hits.select("doc_id", "issuer_id", "kind"), "enrich")
 
 
-@query("stream_promotion", "select s.event_id listing_id, p.event_id bar_id from events s join events p on s.user_id = p.user_id and s.event_type = 'signup' and p.event_type = 'purchase' and p.ts >= s.ts and p.ts <= s.ts + interval 2 day")
+@query("stream_promotion", """
+with s as (select event_id listing_id, user_id issuer_id, ts listed_at from events where event_type = 'signup'), p as (select event_id bar_id, user_id issuer_id, ts bar_at, value price from events where event_type = 'purchase'),
+e as (select max(ts) m from events where event_type in ('signup', 'purchase')),
+f as (select listing_id, any_value(s.issuer_id) issuer_id, any_value(listed_at) listed_at, arg_min(bar_id, (bar_at, bar_id)) bar_id, min(bar_at) bar_at, arg_min(price, (bar_at, bar_id)) price from s left join p on s.issuer_id = p.issuer_id and bar_at >= listed_at and bar_at <= listed_at + interval 2 day group by 1)
+select issuer_id, listing_id, bar_id, round(price, 6) price, case when bar_id is null then 'awaiting_bar' else 'listed' end status from f, e
+where date_trunc('millisecond', bar_at) < date_trunc('millisecond', m) or bar_id is null and date_trunc('millisecond', listed_at) + interval 2 day < date_trunc('millisecond', m)""")
 def stream_promotion(t: Tables):
     e = lambda kind: st.read_stream(t.spark, f"{t.sf_dir}/events.parquet").where(F.col("event_type") == kind)
     listings = e("signup").select(F.col("event_id").alias("listing_id"), F.col("user_id").alias("issuer_id"), F.col("ts").alias("listed_at"))
     bars = e("purchase").select(F.col("event_id").alias("bar_id"), F.col("user_id").alias("issuer_id"), F.col("ts").alias("bar_at"), F.col("value").alias("price"))
-    return st.run_to_table(st.promotions(listings, bars, 2).select("listing_id", "bar_id"), "promotion")
+    out = st.run_to_table(stateful.promotions(listings, bars, 2, late="0 seconds"), "promotion")
+    return out.select("issuer_id", "listing_id", "bar_id", F.round("price", 6).alias("price"), "status")
+
+
+@query("stream_retention", f"""
+with {MENTIONS}, m as (select mention_id, case when mention_id % 10 <> 0 then issuer_id end issuer_id, source, posted_at from mentions), r as (select distinct issuer_id, source, posted_at::date as day from m where issuer_id % 3 <> 0),
+j as (select m.*, r.day is not null rolled, posted_at::date < (select max(posted_at)::date from m) - 15 expired from m left join r on m.issuer_id = r.issuer_id and m.source = r.source and m.posted_at::date = r.day)
+select mention_id from j where expired and (issuer_id is null or rolled)""")
+def stream_retention(t: Tables):
+    m = _mentions(t).select("mention_id", F.when(F.col("mention_id") % 10 != 0, F.col("issuer_id")).alias("issuer_id"), "source", "posted_at")
+    marks = m.where("issuer_id % 3 <> 0").select("issuer_id", "source", F.to_date("posted_at").alias("day"), F.col("posted_at").alias("rolled_at"))
+    return st.run_to_table(stateful.expired_mentions(m, marks, 15), "retention")
 
 
 @query("stream_enrich_refreshed", f"with {_ALIAS}, {_GRAMS} select doc_id, issuer_id, kind from g join a on g.g = a.alias where kind = 'legal'")

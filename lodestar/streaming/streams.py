@@ -45,9 +45,14 @@ def unique_mentions(stream: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def daily_rollup(stream: DataFrame) -> DataFrame:
-    """Counts, engagement and about how many authors per issuer, source and UTC day, when the day is closed."""
-    w = stream.groupBy(F.window("posted_at", "1 day").alias("w"), "issuer_id", "source").agg(F.count("*").alias("mention_count"), F.sum("engagement").alias("engagement"), F.approx_count_distinct("author").alias("about_authors"))
-    return w.select("issuer_id", "source", F.to_date("w.start").alias("day"), "mention_count", "engagement", "about_authors")
+    """Counts, engagement and distinct authors per issuer, source and UTC day, when the day is closed.
+
+    Two aggregates in a row: an author's day first, then the day of those, so that authors are counted exactly and a busy
+    day is first summed by author.
+    """
+    author = stream.groupBy(F.window("posted_at", "1 day").alias("w"), "issuer_id", "source", "author").agg(F.count("*").alias("n"), F.sum("engagement").alias("e"))
+    w = author.groupBy(F.window(F.window_time("w"), "1 day").alias("w"), "issuer_id", "source").agg(F.sum("n").alias("mention_count"), F.sum("e").alias("engagement"), F.count("author").alias("unique_authors"))
+    return w.select("issuer_id", "source", F.to_date("w.start").alias("day"), "mention_count", "engagement", "unique_authors")
 
 
 def forward_state(stream: DataFrame, key: str, rank: str) -> DataFrame:
@@ -75,10 +80,3 @@ def latest_snapshot(spark: SparkSession, at: str) -> DataFrame:
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     last = max(found, key=lambda s: int(s.getPath().getName().rsplit("-", 1)[1]))
     return spark.read.parquet(last.getPath().toString())
-
-
-def promotions(listings: DataFrame, bars: DataFrame, days: int = 15, late: str = "7 days") -> DataFrame:
-    """Listings with a bar within the days after them: an interval join of two streams."""
-    left = listings.withWatermark("listed_at", late)
-    right = bars.select(F.col("issuer_id").alias("bar_issuer"), "bar_id", "bar_at", "price").withWatermark("bar_at", late)
-    return left.join(right, F.expr(f"issuer_id = bar_issuer and bar_at >= listed_at and bar_at <= listed_at + interval {days} days"))
