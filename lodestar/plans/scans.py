@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.workspace import folder
 from ..operators import cohort
-from ..sources import landed
+from ..sources import landed, store
 from .bindings import BARS, CENSUS, FILINGS, MENTIONS, Tables
 from .registry import query
 
@@ -120,3 +120,80 @@ def review_queue_export(t: Tables):
 @query("ledger_split", f"with {CENSUS} select row_id, case when status = 'withdrawn' then 'withdrawn' else 'small' end drop_reason from census where status = 'withdrawn' or deal_size < 1e8")
 def ledger_split(t: Tables):
     return cohort.ledger(t.census, ("withdrawn", F.col("status") == "withdrawn"), ("small", F.col("deal_size") < 1e8))[1].select("row_id", "drop_reason")
+
+
+# A payload a region and month, <company>/<month>: some are cut off, some lack their company and month, some aren't of a month.
+_LANDED = """l as (select n_regionkey r, date_trunc('month', o_orderdate)::date m, count(*) hits, count(distinct o_orderpriority) n_docs from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2)"""
+
+
+def _landed_months(t: Tables) -> str:
+    at = folder(t.spark, "months")
+    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(t.nation.select("n_nationkey", "n_regionkey")), "n_nationkey")  # 25 nations
+    g = t.orders.join(c, "o_custkey").groupBy(F.col("n_regionkey").alias("r"), F.to_date(F.trunc("o_orderdate", "MM")).alias("m")).agg(F.count("*").cast("int").alias("hits"), F.collect_set("o_orderpriority").alias("docs"))
+    name, month = F.concat(F.lit("Region "), F.col("r").cast("string")), F.when((F.col("r") == 4) & (F.month("m") == 5), "soon").otherwise(F.date_format("m", "yyyy-MM"))
+    own = F.col("r") % 2 == 0  # the others leave company and month to the path
+    payload = F.to_json(F.struct(F.when(own, name).alias("company"), F.lit("q").alias("query"), F.when(own, month).alias("month"), F.when(F.month("m") != 7, F.col("hits")).alias("hits"), F.lit("t").alias("fetched_at"), "docs"))
+    cut = (F.col("r") == 3) & (F.month("m") % 6 == 0)
+    g.select(name.alias("company"), F.date_format("m", "yyyy-MM").alias("month"), F.when(cut, F.substring(payload, F.lit(1), F.length(payload) - 5)).otherwise(payload).alias("value")).repartition("company").write.partitionBy("company", "month").text(at)
+    return at
+
+
+@query("months_scan", f"with {_LANDED} select 'Region ' || r company, m \"month\", case when month(m) <> 7 then hits end::int hits, n_docs::int n_docs from l where not (r = 3 and month(m) % 6 = 0) and not (r = 4 and month(m) = 5)")
+def months_scan(t: Tables):
+    return landed.read_months(t.spark, _landed_months(t))[0].select("company", "month", "hits", "n_docs")
+
+
+@query("months_ledger", f"with {_LANDED} select case when r = 3 then 'broken_json' else 'no_month' end drop_reason, count(*) n from l where (r = 3 and month(m) % 6 = 0) or (r = 4 and month(m) = 5) group by 1")
+def months_ledger(t: Tables):
+    return landed.read_months(t.spark, _landed_months(t))[1].groupBy("drop_reason").agg(F.count("*").alias("n"))
+
+
+# A payload a nation: its months, what came by each title, and when its article was made.
+_VIEWED = """o as (select c_nationkey k, date_trunc('month', o_orderdate)::date m, o_orderpriority p, o_orderdate::date d from orders join customer on o_custkey = c_custkey),
+c as (select k, min(d) + 400 created, k % 2 = 0 inherited from o group by 1)"""
+
+
+def _landed_views(t: Tables) -> str:
+    at = folder(t.spark, "views")
+    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k"))
+    o = t.orders.join(c, "o_custkey").select("k", F.to_date("o_orderdate").alias("d"), F.col("o_orderpriority").alias("p"))
+    months = o.groupBy("k", F.date_format("d", "yyyyMM").alias("m")).agg(F.count("*").alias("n"))
+    items = months.groupBy("k").agg(F.collect_list(F.struct(F.concat("m", F.lit("0100")).alias("timestamp"), F.col("n").alias("views"))).alias("items"))  # months of a nation
+    titles = o.groupBy("k", "p").agg(F.count("*").alias("n")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("views_by_title"))  # five titles
+    made = o.groupBy("k").agg(F.date_add(F.min("d"), 400).alias("created"))
+    name = F.concat(F.lit("Nation "), F.col("k").cast("string"))
+    payload = F.to_json(F.struct(name.alias("company"), F.lit("x").alias("cohort"), F.struct(name.alias("title"), F.lit("exact").alias("method")).alias("resolution"), F.concat(F.col("created").cast("string"), F.lit("T00:00:00Z")).alias("article_created"), "views_by_title", (F.col("k") % 2 == 0).alias("title_history_inherited"), "items"))
+    items.join(titles, "k").join(made, "k").select(name.alias("company"), payload.alias("value")).write.partitionBy("company").text(at)
+    return at
+
+
+@query("pageviews_scan", f"with {_VIEWED} select 'Nation ' || k company, m \"month\", count(*) views, m >= date_trunc('month', created) article_existed, m = date_trunc('month', created) creation_month, inherited from o join c using (k) group by all")
+def pageviews_scan(t: Tables):
+    return landed.read_pageviews(t.spark, _landed_views(t))[0].select("company", "month", "views", "article_existed", "creation_month", "inherited")
+
+
+@query("pageviews_by_title", f"with {_VIEWED} select 'Nation ' || k company, p title, count(*) views from o group by 1, 2")
+def pageviews_by_title(t: Tables):
+    return landed.read_pageviews(t.spark, _landed_views(t))[1]
+
+
+@query("counted_on_the_way", f"""
+with {CENSUS} select count(*) n_rows, count(*) filter (where status <> 'withdrawn') not_withdrawn, count(*) filter (where status <> 'withdrawn' and deal_size >= 1e8) kept,
+ count(*) filter (where status = 'withdrawn' or deal_size < 1e8) dropped, round(sum(deal_size) filter (where status <> 'withdrawn' and deal_size >= 1e8), 2) kept_size from census""")
+def counted_on_the_way(t: Tables):
+    reason = cohort.first_reason(("withdrawn", F.col("status") == "withdrawn"), ("small", F.col("deal_size") < 1e8))
+    kept = F.col("drop_reason").isNull()
+    counts = {"n_rows": F.count("*"), "not_withdrawn": F.count_if(F.coalesce(F.col("drop_reason") != "withdrawn", F.lit(True))), "kept": F.count_if(kept), "dropped": F.count_if(~kept), "kept_size": F.round(F.sum(F.when(kept, F.col("deal_size"))), 2)}
+    found = landed.write_counted(t.census.withColumn("drop_reason", reason), folder(t.spark, "ledger"), counts)
+    return t.spark.createDataFrame([found], ", ".join(f"{n} {'double' if n == 'kept_size' else 'long'}" for n in counts)).select(*counts)
+
+
+@query("sink_by_day", f"with {MENTIONS}, l as (select max(posted_at)::date d from mentions) select posted_at::date as day, count(*) n, count(distinct issuer_id) issuers, posted_at::date = d second_run from mentions, l where posted_at::date < d or issuer_id % 2 = 0 group by all")
+def sink_by_day(t: Tables):
+    at = folder(t.spark, "days")
+    m = t.mentions.select("mention_id", "issuer_id", F.to_date("posted_at").alias("day"), F.lit(False).alias("second_run"))
+    store.write_days(m, at, "day", "issuer_id")
+    # The last day comes again, with other rows: it is replaced, the other days stay as they are.
+    last = m.agg(F.max("day")).first()[0]
+    store.write_days(m.where((F.col("day") == F.lit(last)) & (F.col("issuer_id") % 2 == 0)).withColumn("second_run", F.lit(True)), at, "day", "issuer_id")
+    return t.spark.read.parquet(at).groupBy("day", "second_run").agg(F.count("*").alias("n"), F.countDistinct("issuer_id").alias("issuers"))

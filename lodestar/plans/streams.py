@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.workspace import folder
 from ..operators import match
+from ..sources.polls import read_polls
+from ..sources.store import SnapshotStore
 from ..streaming import stateful, streams as st
 from .bindings import MENTIONS, Tables
 from .registry import query
@@ -28,12 +31,29 @@ def stream_dedupe(t: Tables):
     return st.run_to_table(st.unique_mentions(m.union(m)).select("mention_id", "issuer_id", "source"), "dedupe")
 
 
+@query("stream_polls", "select event_id::varchar source_uid, date_trunc('second', ts) posted_at from events")
+def stream_polls(t: Tables):
+    """Four polls of ten days, each of which looks back two days; a run after each two, each key once."""
+    at, out = folder(t.spark, "polls"), folder(t.spark, "polled")
+    day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    polls = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when((day >= k * 10 - 2) & (day < k * 10 + 10), k)), lambda k: k.isNotNull())
+    hit = F.to_json(F.struct(F.col("event_id").cast("string").alias("objectID"), F.unix_seconds("ts").alias("created_at_i")))
+    landed = t.events.select(F.explode(polls).alias("poll"), hit.alias("value"))
+    for first, last in ((0, 1), (2, 3)):
+        landed.where(F.col("poll").between(first, last)).write.partitionBy("poll").mode("append").text(at)
+        hits = read_polls(t.spark, at, lookback_seconds=14 * 86_400).select("source_uid", F.timestamp_seconds("created_at_i").alias("posted_at"))
+        once = hits.withWatermark("posted_at", "7 days").dropDuplicatesWithinWatermark(["source_uid"])
+        table = st.run_to_table(once, "polls", at=out)
+    return table.withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+
+
 @query("stream_entity_state", "select user_id, max(case event_type when 'view' then 0 when 'click' then 1 when 'signup' then 2 when 'purchase' then 3 else -1 end) rank from events group by 1")
 def stream_entity_state(t: Tables):
     e = st.read_stream(t.spark, f"{t.sf_dir}/events.parquet")
     ranked = e.select("user_id", F.expr("case event_type when 'view' then 0 when 'click' then 1 when 'signup' then 2 when 'purchase' then 3 else -1 end").alias("rank"))
-    at = st.run_each_batch(st.forward_state(ranked, "user_id", "rank"), "state", st.keep_latest("user_id"))
-    return st.latest_snapshot(t.spark, at)
+    snapshot = SnapshotStore(t.spark, folder(t.spark, "state"), ["user_id"])
+    st.run_each_batch(ranked, "state", lambda batch, i, at: snapshot.apply(batch, i, st.furthest("user_id", "rank")), mode="append")
+    return snapshot.read()
 
 
 @query("stream_enrich", f"with {_ALIAS}, {_GRAMS} select doc_id, issuer_id, kind from g join a on g.g = a.alias where kind <> 'brand'")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,14 +108,63 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.to_date("r.date").alias("day"), text("name").alias("name"), F.upper(text("symbol")).alias("symbol"), text("exchange").alias("exchange"), F.lower(text("status")).alias("status"), F.col("r.numberOfShares").alias("shares"), F.col("r.totalSharesValue").alias("deal_size"), clean_price(F.col("r.price")).alias("price"), "source_file", "fetched_at")
 
 
-def read_months(spark: SparkSession, path: str) -> DataFrame:
-    """Article payloads by company and month -> counts; hits and the documents that came."""
-    return spark.read.schema("company string, month string, hits int, fetched_at string, docs array<string>").json(path, multiLine=True).select("company", F.to_date("month", "yyyy-MM").alias("month"), "hits", F.size("docs").alias("n_docs"), "fetched_at")
+def read_payloads(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Landed JSON files, one payload each, in any depth of folders -> (file, key, folder, j) and a ledger (file, drop_reason).
 
+    ``key`` is the file's name without its ending and ``folder`` that of its folder; in a table partitioned by company and month, these.
+    A file that isn't whole JSON of the schema goes to the ledger.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    j = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    part = lambda i: F.element_at(F.split("file", "/"), i)
+    stated = lambda name: F.nullif(F.regexp_extract("file", f"/{name}=([^/]*)/", 1), F.lit(""))
+    # A path is encoded once by the file system and partition values once more.
+    plain = lambda c: F.url_decode(F.url_decode(c))
+    key, parent = F.coalesce(stated("month"), F.regexp_replace(part(-1), r"\.[^.]*$", "")), F.coalesce(stated("company"), part(-2))
+    rows = raw.select("file", plain(key).alias("key"), plain(parent).alias("folder"), j.alias("j"))
+    broken = F.col("j").isNull() | F.col("j._corrupt").isNotNull()
+    return rows.where(~broken), rows.where(broken).select("file", F.lit("broken_json").alias("drop_reason"))
 
-def read_pageviews(spark: SparkSession, path: str) -> DataFrame:
-    """Page-view payloads -> company, month, views."""
-    return spark.read.schema("company string, items array<struct<timestamp: string, views: bigint>>").json(path, multiLine=True).select("company", F.inline("items")).select("company", F.to_date(F.substring("timestamp", 1, 6), "yyyyMM").alias("month"), "views")
+
+def _split(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows without a reason, and (file, drop_reason) of the others."""
+    marked = rows.withColumn("drop_reason", reason)
+    return marked.where("drop_reason is null").drop("drop_reason"), marked.where("drop_reason is not null").select("file", "drop_reason")
+
+
+MONTH = "company string, query string, month string, hits int, fetched_at string, docs array<string>"
+
+
+def read_months(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Article payloads in <company>/<month>.json -> company, month, query, hits (null if not known), n_docs, fetched_at; and the ledger.
+
+    Company and month come from the path where the payload lacks them; a file whose month is no month goes to the ledger.
+    """
+    good, broken = read_payloads(spark, path, MONTH)
+    month = F.try_to_timestamp(F.coalesce("j.month", "key"), F.lit("yyyy-MM")).cast("date")
+    rows = good.select("file", F.coalesce("j.company", "folder").alias("company"), month.alias("month"), F.col("j.query").alias("query"), F.col("j.hits").alias("hits"), F.coalesce(F.size("j.docs"), F.lit(0)).alias("n_docs"), F.col("j.fetched_at").alias("fetched_at"))
+    rows, odd = _split(rows, F.when(F.col("month").isNull(), "no_month"))
+    return rows.drop("file"), broken.union(odd)
+
+
+VIEWS = "company string, cohort string, resolution struct<title: string, method: string>, article_created string, views_by_title map<string, bigint>, title_history_inherited boolean, items array<struct<timestamp: string, views: bigint>>"
+
+
+def read_pageviews(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Page-view payloads -> months, titles and the ledger.
+
+    Months: company, cohort, title, month, views, created, article_existed (the article was there in that month; a month before it isn't the
+    company's), creation_month, inherited (some months are those of a previous holder of the title). Titles: company, title, views of each contributing title.
+    """
+    good, broken = read_payloads(spark, path, VIEWS)
+    created = F.try_to_timestamp(F.substring("j.article_created", 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+    base = good.select("file", F.coalesce("j.company", "key").alias("company"), F.col("j.cohort").alias("cohort"), F.col("j.resolution.title").alias("title"), created.alias("created"), F.coalesce("j.title_history_inherited", F.lit(False)).alias("inherited"), F.col("j.items").alias("items"), F.col("j.views_by_title").alias("by_title"))
+    each = base.select("*", F.inline("items")).withColumn("month", F.try_to_timestamp(F.substring("timestamp", 1, 6), F.lit("yyyyMM")).cast("date"))
+    each, odd = _split(each, F.when(F.col("month").isNull(), "no_month"))
+    existed = F.coalesce(F.col("month") >= F.trunc("created", "MM"), F.lit(False))
+    months = each.select("company", "cohort", "title", "month", F.coalesce("views", F.lit(0)).alias("views"), "created", existed.alias("article_existed"), F.coalesce(F.col("month") == F.trunc("created", "MM"), F.lit(False)).alias("creation_month"), "inherited")
+    titles = base.select("company", F.explode("by_title").alias("title", "views")).groupBy("company", "title").agg(F.sum("views").alias("views"))
+    return months, titles, broken.union(odd)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -135,6 +184,14 @@ def read_frame(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return require_columns(spark.read.parquet(path), *columns)
 
 
-def write_queue(df: DataFrame, path: str, order: Sequence, limit: int = 100_000) -> None:
-    """An ordered CSV for people, bounded; one file."""
-    df.orderBy(*order).limit(limit).coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column]) -> dict:
+    """Write df and return the aggregates named in ``counts``, taken on the way: no second scan."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.parquet(path)
+    return seen.get
+
+
+def write_queue(df: DataFrame, path: str, order: Sequence, limit: int | None = None) -> None:
+    """An ordered CSV: the first ``limit`` rows as one file for people; without a limit all rows, in files that sort by name."""
+    ordered = df.orderBy(*order)
+    (ordered if limit is None else ordered.limit(limit).coalesce(1)).write.mode("overwrite").csv(path, header=True)

@@ -22,10 +22,10 @@ def read_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataF
     return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"})
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all there is, with a checkpoint, into a Parquet table; returns the table."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Process all there is, with a checkpoint, into a Parquet table; returns the table. With the folder ``at`` of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    at = folder(spark, name)
+    at = at or folder(spark, name)
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/table")
@@ -55,28 +55,6 @@ def daily_rollup(stream: DataFrame) -> DataFrame:
     return w.select("issuer_id", "source", F.to_date("w.start").alias("day"), "mention_count", "engagement", "unique_authors")
 
 
-def forward_state(stream: DataFrame, key: str, rank: str) -> DataFrame:
-    """The furthest step of each key, whatever the order of events."""
-    return stream.groupBy(key).agg(F.max(rank).alias("rank"))
-
-
-def keep_latest(at_key: str) -> Callable[[DataFrame, int, str], None]:
-    """A batch function: each batch's changed keys become the next snapshot with those that didn't change."""
-
-    def act(batch: DataFrame, i: int, at: str) -> None:
-        spark = batch.sparkSession
-        if i == 0:
-            batch.write.mode("overwrite").parquet(f"{at}/snapshot-{i}")
-        else:
-            old = spark.read.parquet(f"{at}/snapshot-{i - 1}").join(batch.select(at_key), at_key, "left_anti")
-            old.unionByName(batch).write.mode("overwrite").parquet(f"{at}/snapshot-{i}")
-
-    return act
-
-
-def latest_snapshot(spark: SparkSession, at: str) -> DataFrame:
-    """The last snapshot that was written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/snapshot-*")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    last = max(found, key=lambda s: int(s.getPath().getName().rsplit("-", 1)[1]))
-    return spark.read.parquet(last.getPath().toString())
+def furthest(key: str, rank: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A merge of a snapshot with a batch: the furthest step of each key, whatever the order of events. A replay changes nothing."""
+    return lambda old, new: old.select(key, rank).union(new.select(key, rank)).groupBy(key).agg(F.max(rank).alias(rank))
