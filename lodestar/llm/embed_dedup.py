@@ -11,6 +11,7 @@ it has and one link of a spanning forest, never its pairs.
 
 from __future__ import annotations
 
+import math
 from math import ceil
 
 import numpy as np
@@ -148,8 +149,27 @@ def _exact(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     return x.select(F.col("a").alias("node"), F.col("cb").alias("n"), F.col("b").alias("link")).union(x.select("b", "ca", "a"))
 
 
+def cosine(x, y) -> float:
+    """The cosine that a link is decided by, in doubles: parts divided by the vector's largest magnitude, sums from left to right.
+
+    What _exact computes of a pair, also where two values of the threshold's last bit would differ by how they are summed.
+    """
+    def scaled(v):
+        largest = max(abs(float(p)) for p in v)
+        return [float(p) / largest + 0.0 for p in v]
+
+    def dot(v, w):
+        total = 0.0
+        for p, q in zip(v, w):
+            total += p * q
+        return total
+
+    x, y = scaled(x), scaled(y)
+    return dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y)))
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embedding", id_: str = "vec_id", block: int = BLOCK) -> DataFrame:
-    """Links of cosine >= threshold among all vectors; one row a vector.
+    """Links of cosine() >= threshold among all vectors; one row a vector.
 
     Returns vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable,
     itself included) and kept (vec_id = component_id). No pair is missed and none below the threshold

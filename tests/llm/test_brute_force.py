@@ -361,7 +361,7 @@ def test_embeddings_with_repeated_and_missing_ids(spark):
     rows += [(10 + k, 0.95 * base + np.sqrt(1 - (0.95 + d) ** 2) * side) for k, d in enumerate((-1e-6, 0, 1e-6))]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("ha", "hb", "raw")})
     at = [v.astype(float) for _, v in rows]
-    links = {i: {j for j in range(len(at)) if i != j and at[i] @ at[j] / np.sqrt(at[i] @ at[i]) / np.sqrt(at[j] @ at[j]) >= 0.95} for i in range(len(at))}
+    links = {i: {j for j in range(len(at)) if i != j and embed_dedup.cosine(at[i], at[j]) >= 0.95} for i in range(len(at))}
     comp = reach(links)
     least = {c: min((rows[i][0] for i in comp if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp.values())}
     want = sorted(((rows[i][0], len(links[i]), least[comp[i]]) for i in range(len(rows))), key=str)
