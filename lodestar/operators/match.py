@@ -56,8 +56,9 @@ def ngrams(tokens: Column, longest: int) -> Column:
 def candidates(texts: DataFrame, aliases: DataFrame, id_: str, text: Column, longest: int = 3, alias: str = "alias") -> DataFrame:
     """Distinct (id, alias) pairs whose alias occurs in the text as whole tokens.
 
-    Every position gives its runs as rows, which meet the aliases in an equi-join; what matched is made
-    distinct. A stream makes the runs of a text distinct first, as it then needs no state.
+    Texts are normalised once; of their positions only those whose token begins an alias stay, by a semi join, and give
+    their runs as rows, which meet the aliases in an equi-join. What matched is made distinct. A stream makes the runs of a text
+    distinct first, as it then needs no state.
     """
     tokens = F.split(normalize_text(text), " ")
     if texts.isStreaming:
@@ -66,6 +67,8 @@ def candidates(texts: DataFrame, aliases: DataFrame, id_: str, text: Column, lon
     rows = texts.select(F.col(id_), tokens.alias("_w"))
     shifted = F.arrays_zip(*[F.slice("_w", k + 1, F.size("_w")).alias(f"t{k}") for k in range(longest)])
     rows = rows.select(id_, F.explode(shifted).alias("_z"))
+    firsts = aliases.select(F.substring_index(alias, " ", 1).alias("_first")).distinct()
+    rows = rows.join(firsts, F.col("_z.t0") == F.col("_first"), "left_semi")
     runs = [F.when(F.col(f"_z.t{k}").isNotNull(), F.concat_ws(" ", *[F.col(f"_z.t{j}") for j in range(k + 1)])) for k in range(longest)]
     grams = rows.select(id_, F.explode(F.array(*runs)).alias("_g"))
     return grams.join(aliases, F.col("_g") == F.col(alias)).drop("_g").distinct()

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -70,7 +71,11 @@ def cascade(df: DataFrame, id_: str, rules: Sequence[tuple[str, Column, DataFram
 
 def unique_only(df: DataFrame, candidates: DataFrame, key: str, candidate: str, limit: int = 20) -> DataFrame:
     """Resolve only keys with one candidate; else ambiguous with the first ``limit`` of them, or none."""
-    c = candidates.groupBy(key).agg(F.countDistinct(candidate).alias("n_candidates"), F.min(candidate).alias("_one"), F.slice(F.array_sort(F.collect_set(candidate)), 1, limit).alias("_all"))
+    each = candidates.where(F.col(candidate).isNotNull()).select(key, candidate).distinct()
+    # The listed ones are cut by a ranked window, which Spark limits before the shuffle: no list of all of them is made.
+    first = each.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(candidate))).where(F.col("_k") <= limit)
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(candidate)).alias("_all"), F.min(candidate).alias("_one"))
+    c = each.groupBy(key).agg(F.count("*").alias("n_candidates")).join(listed, key)
     out = df.join(c, key, "left")
     n = F.coalesce("n_candidates", F.lit(0))
     return out.select(*df.columns, F.when(n == 1, F.col("_one")).alias("resolved"), F.when(n == 1, "unique").when(n == 0, "none").otherwise("ambiguous").alias("outcome"), F.when(n > 1, F.array_join(F.col("_all").cast("array<string>"), "|")).alias("candidates"))

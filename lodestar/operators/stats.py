@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.workspace import folder
-from .quantiles import grouped_quantiles, quantiles
+from .quantiles import grouped_quantiles, quantiles, saved
 from .timeseries import average_rank, value_ranks
 
 
@@ -178,3 +178,66 @@ def stratified_difference(df: DataFrame, stratum: Column, flag: str, value: str)
     q = grouped_quantiles(d, ["stratum"], {"median1": of(1), "median0": of(0)}).withColumnRenamed("stratum", "_s")
     out = g.join(q, F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
     return out.withColumn("diff", F.col("median1") - F.col("median0"))
+
+
+def absorb(df: DataFrame, columns: Sequence[str], by: Sequence[str], tolerance: float = 1e-10, rounds: int = 500) -> tuple[DataFrame, dict[str, int]]:
+    """The columns with the means of every level of each of ``by`` taken out, by turns until none is left; and the levels of each.
+
+    What remains is orthogonal to all the levels' dummies, however many there are: a round is one aggregate and one join a column of ``by``.
+    """
+    d = saved(df, "absorb")
+    levels = d.agg(*[F.countDistinct(c).alias(c) for c in by]).first().asDict()
+    spread = d.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first().asDict()
+    for _ in range(rounds):
+        for c in by:
+            means = d.groupBy(F.col(c).alias("_level")).agg(*[F.avg(x).alias(f"_mean_{x}") for x in columns])
+            d = d.join(means, F.col(c) == F.col("_level")).withColumns({x: F.col(x) - F.col(f"_mean_{x}") for x in columns}).select(*df.columns)
+        d = saved(d, "absorb")
+        # The last of ``by`` has no means left; the others have what its step brought back.
+        rest = [d.groupBy(c).agg(*[F.avg(x).alias(x) for x in columns]).agg(*[F.max(F.abs(x)).alias(x) for x in columns]).first().asDict() for c in by[:-1]]
+        if all(r[x] <= tolerance * max(spread[x] or 0, 1e-300) for r in rest for x in columns):
+            break
+    return d, levels
+
+
+def ols_absorbed(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], cluster: str | None = None) -> DataFrame:
+    """Least squares with a dummy for every level of each of ``by``, which are absorbed: errors and degrees of freedom are those of
+    ols() with these dummies. HC1 errors, or cluster-robust ones. Rows with a null in any column are left out. Columns that the levels
+    explain wholly are left out. Returns name, coef, se, t, n, r2.
+    """
+    spark = df.sparkSession
+    names = {f"_x{i}": x for i, x in enumerate(xs)}
+    by_names = [f"_b{i}" for i in range(len(by))]
+    d = df.select(F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(n) for n, x in names.items()], *[F.col(c).alias(b) for b, c in zip(by_names, by)], *([F.col(cluster).alias("_c")] if cluster else [])).dropna()
+    before = d.agg(F.count("*"), F.var_pop("_y"), *[F.var_pop(n) for n in names]).first()
+    n, sst = before[0], (before[0] * before[1] if before[0] else 0.0)
+    schema = "name string, coef double, se double, t double, n long, r2 double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    d, levels = absorb(d, ["_y", *names], by_names)
+    after = d.agg(*[F.avg(F.col(c) * F.col(c)) for c in names]).first()
+    keep = [c for c, v, w in zip(names, before[2:], after) if v and w > 1e-16 * v]
+    x, k = [F.col(c) for c in keep], len(keep)
+    used = k + sum(levels.values()) - len(by) + 1
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def matrix(values) -> np.ndarray:
+        m = np.zeros((k, k))
+        for (i, j), v in zip(pairs, values):
+            m[i, j] = m[j, i] = v
+        return m
+
+    s = d.agg(F.count("*"), *[F.sum(c * F.col("_y")) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
+    inv = np.linalg.pinv(matrix(s[1 + k :])) if k else np.zeros((0, 0))
+    beta = inv @ np.array(s[1 : 1 + k], dtype=float)
+    e = F.col("_y") - sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0))
+    if cluster:
+        scores = d.groupBy("_c").agg(F.sum(e * e).alias("_e2"), *[F.sum(e * c).alias(f"_s{i}") for i, c in enumerate(x)])
+        m = scores.agg(F.count("*"), F.sum("_e2"), *[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")) for i, j in pairs]).first()
+        scale = m[0] / max(1, m[0] - 1) * (n - 1) / max(1, n - used)
+    else:
+        m = d.agg(F.count("*"), F.sum(e * e), *[F.sum(e * e * x[i] * x[j]) for i, j in pairs]).first()
+        scale = n / max(1, n - used)
+    se = np.sqrt(np.maximum(0, np.diag(inv @ matrix(m[2:]) @ inv) * scale))
+    r2 = 1 - m[1] / max(1e-300, sst)
+    return spark.createDataFrame([(names[c], float(b), float(v), float(b / v) if v else None, n, float(r2)) for c, b, v in zip(keep, beta, se)], schema)

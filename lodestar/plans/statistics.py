@@ -129,6 +129,16 @@ def ols_cluster(t: Tables):
     return stats.ols(o, "ret", ["treated", "discount"], {"yr": list(range(1995, 2002))}, cluster="yq")
 
 
+@query("ols_absorbed", f"""with {OUTCOMES}, o as (select entity_id, {_RET} y, discount x from outcomes),
+d as (select y - avg(y) over (partition by entity_id) y, x - avg(x) over (partition by entity_id) x from o), t as (select count(*) n, count(distinct entity_id) g, var_pop(y) * count(*) sst from o),
+b as (select sum(x * y) / sum(x * x) b, sum(x * x) sxx from d), e as (select sum((y - b * x) ** 2 * x * x) meat, sum((y - b * x) ** 2) ssr, max(b) b, max(sxx) sxx from d, b)
+select n, round(b, 6) slope, round(sqrt(n / (n - g - 1) * meat) / sxx, 6) se_slope, round(1 - ssr / sst, 6) r2 from e, t""")
+def ols_absorbed(t: Tables):
+    """A dummy for every part, absorbed."""
+    r = stats.ols_absorbed(_outcomes(t), "ret", ["discount"], ["entity_id"])
+    return r.select("n", F.round("coef", 6).alias("slope"), F.round("se", 6).alias("se_slope"), F.round("r2", 6).alias("r2"))
+
+
 @query("stratified_diff", f"with {OUTCOMES}, o as (select *, {_RET} v from outcomes) select kind stratum, count(*) filter (where treated = 1) n1, count(*) filter (where treated = 0) n0, round(quantile_cont(case when treated = 1 then v end, 0.5), 6) median1, round(quantile_cont(case when treated = 0 then v end, 0.5), 6) median0, round(quantile_cont(case when treated = 1 then v end, 0.5) - quantile_cont(case when treated = 0 then v end, 0.5), 6) diff from o group by 1")
 def stratified_diff(t: Tables):
     d = stats.stratified_difference(_outcomes(t), F.col("kind"), "treated", "ret")
