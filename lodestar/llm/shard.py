@@ -1,7 +1,8 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a 63-bit key: the CRC-32 of the text above 31 bits of a hash of the id, so that
-equal texts are neighbours yet a group of copies of any size can be cut. Boundaries between shards are
+Rows are ordered by a 63-bit key: the CRC-32 of the text above 31 bits of a hash of the id (and of a
+number, for many rows of one text and id), so that equal texts are neighbours yet a group of copies of any
+size can be cut. Boundaries between shards are
 found by counting exact bytes below candidate keys: each round splits the brackets around unsettled
 boundaries into probes, in one aggregate over keys and sizes, until a boundary is within tolerance of
 its target or its bracket holds a single key. Then rows are exchanged once, by shard and key prefix:
@@ -32,8 +33,21 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def sort_key(text: Column, id_: Column) -> Column:
-    return F.shiftleft(F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long"), 31) + F.pmod(F.xxhash64(id_), F.lit(1 << 31))
+def sort_key(text: Column, id_: Column, *more: Column) -> Column:
+    return F.shiftleft(F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long"), 31) + F.pmod(F.xxhash64(id_, *more), F.lit(1 << 31))
+
+
+def _numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds a number from 0 to the rows of each key: a saved table's rows in the order that it is read.
+
+    Rows are numbered within the pieces that the table is read in; only counts by piece meet by key.
+    """
+    piece, at, before = (unused(rows, x) for x in ("piece", "at", "before"))
+    rows = rows.withColumns({piece: F.spark_partition_id(), at: F.monotonically_increasing_id()})
+    along = Window.partitionBy(key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, piece).count().select(key, piece, F.coalesce(F.sum("count").over(along), F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(key, piece).orderBy(at))
+    return rows.withColumn(name, inside.cast("long")).join(counts, [key, piece]).withColumn(name, F.col(name) - 1 + F.col(before)).drop(piece, at, before)
 
 
 def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
@@ -74,13 +88,18 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
     return sorted(min(found[i], (1 << BITS) - 1) for i in range(parts - 1)) if total else []
 
 
+def _limit(total: int, part_bytes: int) -> int:
+    """Bytes of a part: more than asked for only where there would be more than HEAVY parts."""
+    return max(part_bytes, total // HEAVY)
+
+
 def _leaves(scratch: Scratch, keys: DataFrame, total: int, part_bytes: int):
     """A function that adds to rows the first key of the prefix that they are sorted in.
 
     Prefixes are as long as evenly spread keys need; those of more than ``part_bytes`` are cut further,
     round by round. Heavy prefixes are at most HEAVY a round, by their weight, so they are broadcast.
     """
-    limit = max(part_bytes, total // HEAVY)
+    limit = _limit(total, part_bytes)
     shift = BITS - min(BITS, (4 * total // limit).bit_length())
     levels = []
 
@@ -109,8 +128,11 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_i
     or as near as the cut between two rows allows. A shard is sorted by key in parts of at most about
     ``part_bytes``, so no task holds a whole shard; slots are gapless from 0 in key order. Equal texts
     share a shard unless a boundary falls inside their group. Null texts have size 1 and CRC 0; null
-    ids hash as nulls; rows with the same text and id have the same key and stay together. An empty
-    table gives an empty result. Columns named as ours are replaced.
+    ids hash as nulls. Rows with the same text and id have the same key; where they weigh more than a
+    boundary's tolerance they are numbered and the number is hashed too, so that any number of copies
+    without an id is cut like others. Which of such rows goes where depends on the table's order; if
+    they are equal in all columns, the result doesn't. An empty table gives an empty result. Columns
+    named as ours are replaced.
     """
     df = df.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     scratch = Scratch(df.sparkSession, "shard")
@@ -121,6 +143,16 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_i
     # Keys and sizes only, kept as a table, so that probing reads no text.
     keys = scratch.save(keyed.select(F.col(key).alias("key"), "size"), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
+    # Keys of several rows that weigh more than a boundary's tolerance or a part: at most shards / tolerance or HEAVY.
+    most = min(tolerance * total / shards, _limit(total, part_bytes))
+    tied = scratch.save(keys.groupBy("key").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("b") > most)).select(F.col("key").alias(key)), "tied")
+    if tied.limit(1).count():
+        same = scratch.save(keyed.join(small(tied), key, "left_semi"), "same")
+        number = unused(keyed, "number")
+        again = _numbered(same, key, number)
+        again = again.withColumn(key, sort_key(F.col(text), F.col(id_), F.col(number))).select(*keyed.columns)
+        keyed = keyed.join(small(tied), key, "left_anti").select(*keyed.columns).union(again)
+        keys = scratch.save(keyed.select(F.col(key).alias("key"), "size"), "keys")
     cuts = splitters(keys, shards, tolerance)
     add = _leaves(scratch, keys, total, part_bytes)
     parts = add(keys, "key", "leaf").groupBy(cuts_below(F.col("key"), cuts).alias("shard"), "leaf").count()
