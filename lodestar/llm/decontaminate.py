@@ -5,11 +5,13 @@ benchmark items and documents; positions in the gaps are ignored. Twelve aligned
 two substitutions always have two intact blocks of three, so one of the masks hits. Items of three to
 eight tokens have a mask of three, shorter ones a mask of one. Seed hashes of the benchmark travel to
 the workers in blocks of a stated size and are joined there with the hashes of every document; around
-a hit the two texts are compared along its diagonal. What a block finds is a table of hits alone.
+a hit the windows of the two texts that hold it are compared. A seed that many places share leads to longer
+masks instead of to each of them. What a block finds is a table of hits alone.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,7 +32,9 @@ WINDOW, SUBSTITUTIONS = 12, 2
 #: Benchmark tokens that are joined in one pass over the documents (about 50 MB on a worker).
 PASS_TOKENS = 1_000_000
 #: Hits that are looked at together.
-HITS = 1 << 17
+HITS = 1 << 15
+#: Places of a seed beyond which its windows are found by longer masks, and hashes of those masks a block has at most (48 MB).
+SHARED, SHARED_MASKS = 64, 4_000_000
 
 TOKEN = re.compile(r"\w+")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
@@ -61,69 +65,145 @@ def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarra
 class Index:
     """Seeds of a block of benchmark items, by mask.
 
-    A table has the distinct hashes, sorted; for each its entries, one an item that has it; for each entry
-    the positions in that item.
+    A table has the distinct hashes of one mask, sorted, and for each the places (tokens of all items on end)
+    that have it. Seeds of more than ``shared`` places, such as those of a prompt that many items begin with,
+    aren't compared place by place. The windows around them are kept once each, with the items that hold
+    them, and are found by longer masks: one for every choice of the tokens that may differ, so whatever such
+    a mask finds is an overlap. Where these masks would take more than SHARED_MASKS hashes, ``shared`` is
+    doubled until they don't; what is found is the same for any ``shared``.
     """
 
-    def __init__(self, block: list[tuple[int | None, list[str]]]):
+    def __init__(self, block: list[tuple[int | None, list[str]]], shared: int = SHARED):
         self.item_ids = [i for i, _ in block]
         self.vocabulary: dict[str, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in toks], dtype=np.int64) for _, toks in block]
+        items = [np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in toks], dtype=np.int64) for _, toks in block]
+        sizes = np.array([len(x) for x in items])
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        self.flat = np.concatenate(items)
+        self.width = np.minimum(sizes, WINDOW)
         self.tables = []
-        sizes = np.array([len(x) for x in self.items])
         for masks, lo, hi in ((MASKS, LONG, np.inf), (MASKS_SHORT, SHORT, LONG), (MASKS_TINY, 1, SHORT)):
             some = np.flatnonzero((sizes >= lo) & (sizes < hi))
             for mask in masks if len(some) else ():
-                got = [seeds(self.items[i], mask) for i in some]
-                h, item, pos = np.concatenate([g[1] for g in got]), np.concatenate([np.full(len(g[0]), i) for i, g in zip(some, got)]), np.concatenate([g[0] for g in got])
+                got = [seeds(items[i], mask) for i in some]
+                h, place = np.concatenate([g[1] for g in got]), np.concatenate([g[0] + self.first[i] for i, g in zip(some, got)])
                 if not len(h):
                     continue
-                order = np.lexsort((pos, item, h))
-                h, item, pos = h[order], item[order], pos[order]
-                entry = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (item[1:] != item[:-1]))))
-                hashes, first = np.unique(h[entry], return_index=True)
-                self.tables.append((mask, hashes, np.append(first, len(entry)), item[entry], np.append(entry, len(pos)), pos))
+                order = np.lexsort((place, h))
+                hashes, first = np.unique(h[order], return_index=True)
+                self.tables.append((mask, hashes, np.append(first, len(h)), place[order]))
+        while True:
+            windows = self._shared_windows(shared)
+            if sum(len(rows) * len(_kept(w)) for w, (rows, _, _) in windows.items()) <= SHARED_MASKS:
+                break
+            shared *= 2
+        self.shared = shared
+        self.windows = {}
+        for w, (rows, first, item) in windows.items():
+            h = np.concatenate([_row_hashes(rows[:, kept], n) for n, kept in enumerate(_kept(w))])
+            order = np.argsort(h, kind="stable")
+            self.windows[w] = (rows, first, item, h[order], (order % len(rows)).astype(np.int32))
+
+    def _shared_windows(self, shared: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By width, the distinct windows around seeds of more than ``shared`` places, and the items of each."""
+        starts: dict[int, list[np.ndarray]] = {}
+        for mask, _, first, place in self.tables:
+            n = np.diff(first)
+            at = place[np.repeat(n > shared, n)]
+            item = np.searchsorted(self.first, at, "right") - 1
+            for w in np.unique(self.width[item]).tolist():
+                a, i = at[self.width[item] == w], item[self.width[item] == w]
+                for back in range(w - mask[-1]):
+                    ok = (a - back >= self.first[i]) & (a - back + w <= self.first[i + 1])
+                    starts.setdefault(w, []).append(a[ok] - back)
+        out = {}
+        for w, some in starts.items():
+            start = np.unique(np.concatenate(some))
+            if not len(start):
+                continue
+            rows, which = np.unique(self.flat[start[:, None] + np.arange(w)], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.searchsorted(self.first, start, "right") - 1], 1), axis=0)
+            out[w] = (rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1])
+        return out
 
     def overlaps(self, text: str | None) -> list[tuple[int | None, int]]:
-        """(item_id, equal tokens of its best window on the first diagonal that is near enough) of the items that the whole text overlaps with."""
+        """(item_id, equal tokens of its best window) of the items that the whole text overlaps with."""
         toks = tokens(text)
         ids = np.fromiter((self.vocabulary.get(t, -1) for t in toks), dtype=np.int64, count=len(toks))
-        found: dict[int, int] = {}
-        tried: set[int] = set()
-        for mask, hashes, first, item, start, pos in self.tables:
+        best = None
+        probed: dict[int, np.ndarray] = {}
+        for mask, hashes, first, place in self.tables:
             at, h = seeds(ids, mask)
             k = np.searchsorted(hashes, h)
             hit = (k < len(hashes)) & (hashes[np.minimum(k, len(hashes) - 1)] == h)
             at, k = at[hit], k[hit]
-            # Entries met by each position, then the positions of each entry, a bounded number at a time.
+            if not len(at):
+                continue
+            if best is None:
+                best = np.zeros(len(self.item_ids), np.int8)
+            often = first[k + 1] - first[k] > self.shared
+            for w in self.windows if often.any() else ():
+                for back in range(w - mask[-1]):
+                    start = at[often] - back
+                    probed.setdefault(w, np.zeros(len(ids), bool))[start[(start >= 0) & (start + w <= len(ids))]] = True
+            at, k = at[~often], k[~often]
             for lo, hi in _runs(first[k + 1] - first[k]):
-                who, entry = _expand(first[k[lo:hi]], first[k[lo:hi] + 1])
-                who += lo
-                counts = start[entry + 1] - start[entry]
-                for a, b in _runs(counts):
-                    new = np.array([int(i) not in found for i in item[entry[a:b]]])
-                    w, e = who[a:b][new], entry[a:b][new]
-                    j, place = _expand(start[e], start[e + 1])
-                    for key in np.unique((item[e[j]] << 40) + (at[w[j]] - pos[place]) + (1 << 39)).tolist():
-                        i, diagonal = key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
-                        if i in found or key in tried:
-                            continue
-                        tried.add(key)
-                        n = self._equal(ids, self.items[i], diagonal)
-                        if n:
-                            found[i] = n
-        return [(self.item_ids[i], n) for i, n in sorted(found.items())]
-
-    @staticmethod
-    def _equal(ids: np.ndarray, item: np.ndarray, diagonal: int) -> int:
-        """Equal tokens in the best window along the diagonal; 0 if it has too many substitutions."""
-        lo, hi = max(0, diagonal), min(len(ids), diagonal + len(item))
-        w = min(WINDOW, len(item))
-        if hi - lo < w:
-            return 0
-        equal = np.concatenate(([0], np.cumsum(ids[lo:hi] == item[lo - diagonal : hi - diagonal])))
-        n = int((equal[w:] - equal[:-w]).max())
-        return n if n >= w - SUBSTITUTIONS * w // WINDOW else 0
+                who, j = _expand(first[k[lo:hi]], first[k[lo:hi] + 1])
+                self._compare(ids, at[lo:hi][who], place[j], mask[-1] + 1, best)
+        for w, mark in probed.items():
+            self._probe(ids, w, np.flatnonzero(mark), best)
+        return [] if best is None else [(self.item_ids[i], int(best[i])) for i in np.flatnonzero(best).tolist()]
+
+    def _compare(self, ids: np.ndarray, at: np.ndarray, place: np.ndarray, span: int, best: np.ndarray) -> None:
+        """Raises best by the windows around seeds of ``span`` tokens, at ``at`` of the text and ``place`` of the items."""
+        item = np.searchsorted(self.first, place, "right") - 1
+        for w in np.unique(self.width[item]).tolist():
+            some = self.width[item] == w
+            a, p, i = at[some], place[some], item[some]
+            o = np.arange(span - w, w)
+            equal = ids[np.clip(a[:, None] + o, 0, len(ids) - 1)] == self.flat[np.clip(p[:, None] + o, 0, len(self.flat) - 1)]
+            total = np.concatenate((np.zeros((len(a), 1), np.int8), np.cumsum(equal, axis=1, dtype=np.int8)), axis=1)
+            for back in range(w - span + 1):
+                n = total[:, 2 * w - span - back] - total[:, w - span - back]
+                ok = (n >= _enough(w)) & (a >= back) & (a - back + w <= len(ids)) & (p - back >= self.first[i]) & (p - back + w <= self.first[i + 1])
+                np.maximum.at(best, i[ok], n[ok])
+
+    def _probe(self, ids: np.ndarray, w: int, starts: np.ndarray, best: np.ndarray) -> None:
+        """Raises best by the kept windows of width w that the text's windows at ``starts`` are near enough to."""
+        rows, first, item, hashes, which = self.windows[w]
+        mine = np.unique(ids[starts[:, None] + np.arange(w)], axis=0)
+        near = np.zeros(len(rows), np.int8)
+        for n, kept in enumerate(_kept(w)):
+            known = mine[(mine[:, kept] >= 0).all(axis=1)]
+            h = _row_hashes(known[:, kept], n)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for x, y in _runs(hi - lo):
+                who, j = _expand(lo[x:y], hi[x:y])
+                equal = (known[x:y][who] == rows[which[j]]).sum(axis=1).astype(np.int8)
+                ok = equal >= _enough(w)
+                np.maximum.at(near, which[j][ok], equal[ok])
+        found = np.flatnonzero(near)
+        for x, y in _runs(first[found + 1] - first[found]):
+            who, j = _expand(first[found[x:y]], first[found[x:y] + 1])
+            np.maximum.at(best, item[j], near[found[x:y]][who])
+
+
+def _enough(w: int) -> int:
+    """Equal tokens that make a window of w tokens an overlap."""
+    return w - SUBSTITUTIONS * w // WINDOW
+
+
+def _kept(w: int) -> list[list[int]]:
+    """The positions that are looked at, for every choice of those that may differ."""
+    return [list(x) for x in itertools.combinations(range(w), _enough(w))]
+
+
+def _row_hashes(rows: np.ndarray, salt: int) -> np.ndarray:
+    h = np.full(len(rows), salt + 1, np.uint64)
+    for c in range(rows.shape[1]):
+        h = (h ^ (rows[:, c].astype(np.uint64) + np.uint64(1)) * _MULT[c % len(_MULT)]) * _MULT[0]
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def _runs(counts: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -197,6 +197,39 @@ def test_repetitive_texts_are_not_quadratic():
     assert time.perf_counter() - began < 1
 
 
+def test_a_prompt_that_many_items_share_is_not_quadratic():
+    import time
+
+    prompt = "answer the following multiple choice question"
+    index = decontaminate.Index([(i, f"{prompt} {prose(14, i)}".split()) for i in range(3000)])
+    planted = prose(14, 77).split()
+    planted[3] = planted[9] = "zz"
+    text = " ".join(f"{prompt} {prose(12, 10_000 + i)}" for i in range(3000))
+    began = time.perf_counter()
+    assert 77 in [i for i, _ in index.overlaps(f"{text} {prompt} {' '.join(planted)}")]
+    assert time.perf_counter() - began < 3
+
+
+def test_best_windows_are_the_same_however_many_places_a_seed_may_have(monkeypatch):
+    r = random.Random(5)
+    for _ in range(60):
+        few = [f"v{k}" for k in range(r.choice([2, 4, 30]))]
+        items = [(i, r.choices(few, k=r.choice([1, 2, 3, 5, 6, 8, 9, 11, 12, 20]))) for i in range(8)]
+        text = r.choices([*few, "zz"], k=r.randint(0, 50)) + r.choice(items)[1]
+        want = []
+        for i, item in items:
+            w = min(12, len(item))
+            n = max((sum(x == y for x, y in zip(text[a : a + w], item[b : b + w])) for a in range(len(text) - w + 1) for b in range(len(item) - w + 1)), default=0)
+            if n >= w - 2 * w // 12:
+                want.append((i, n))
+        for shared in (0, 2, 64):
+            assert decontaminate.Index(items, shared).overlaps(" ".join(text)) == want, (text, items, shared)
+        # Too many masks: the bound on places is raised, the result is the same.
+        monkeypatch.setattr(decontaminate, "SHARED_MASKS", 200)
+        assert decontaminate.Index(items, 1).overlaps(" ".join(text)) == want
+        monkeypatch.undo()
+
+
 def test_any_two_substitutions_are_found():
     words = [f"w{i}" for i in range(12)]
     index = decontaminate.Index([(1, words)])
@@ -250,6 +283,16 @@ def test_sharding_cuts_a_group_of_copies(spark):
     assert own.where("key = 'own' and leaf = 'own' and before = 'own' and heavy = 'own'").count() == 1300
 
 
+def test_sharding_cuts_equal_rows_without_an_id(spark):
+    rows = [(None, "copy of one text " * 50)] * 800 + [(i, prose(140, i)) for i in range(800)] + [(-1, None)] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("number", "piece", "at", "before", "key")})
+    out = shard.shard(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == sorted((i is None, i or 0, t or "") for i, t in rows)
+    assert len({r.shard for r in check_shards(out).values() for r in r}) == 16 and all(r.number == r.piece == r.at == r.key == "own" for r in out)
+    again = shard.shard(df.repartition(7), part_bytes=5000).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.shard, r.slot) for r in again) == sorted((r.doc_id or 0, r.text or "", r.shard, r.slot) for r in out)
+
+
 def test_sharding_odd(spark, odd, empty):
     rows = shard.shard(odd).collect()
     assert len(rows) == len(ODD) and next(r for r in rows if r.doc_id == 1).size == 1 and next(r for r in rows if r.doc_id == 1).text_crc32 == 0
