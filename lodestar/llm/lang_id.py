@@ -99,7 +99,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(examples: list[tuple[int, str, np.ndarray, np.ndarray]]) -> Model:
     """Fit on (id, language, feature ids, counts); one in eight, by position, only sets the temperature."""
-    examples = sorted(examples, key=lambda x: x[0])
+    examples = sorted(examples, key=lambda x: (x[0], x[1], x[2].tobytes()))
     languages = sorted({x[1] for x in examples})
     where = {x: i for i, x in enumerate(languages)}
     n, k = 1 << BITS, max(1, len(languages))
@@ -141,16 +141,24 @@ def train(examples: list[tuple[int, str, np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def bounded(df: DataFrame, limit: int, id_: str = "doc_id") -> DataFrame:
-    """About ``limit`` rows from all of the table, picked by a hash of the id."""
-    n = df.select(id_).count()
+def bounded(df: DataFrame, limit: int) -> DataFrame:
+    """About ``limit`` rows from all of the table, picked by a hash of the whole row; equal rows all or none."""
+    n = df.count()
     if n > limit:
-        df = df.where(F.pmod(F.xxhash64(id_, F.lit(8)), F.lit(1 << 20)) < int(limit / n * (1 << 20)))
+        df = df.where(F.pmod(F.xxhash64(*df.columns, F.lit(8)), F.lit(1 << 20)) < int(limit / n * (1 << 20)))
     return df
 
 
+def at_most(df: DataFrame, limit: int) -> list:
+    """The rows, of which the driver gets ``limit`` at most: the first by a hash of the whole row."""
+    return df.orderBy(F.xxhash64(*df.columns)).limit(limit).collect()
+
+
 def fit(labelled: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    """Train on rows (doc_id, text, lang), at most about ``limit`` of them, whole texts."""
+    """Train on rows (doc_id, text, lang), about ``limit`` of them and never more than twice as many, whole texts.
+
+    Ids may be null or repeat; a row that repeats counts as often as it is picked.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -159,7 +167,7 @@ def fit(labelled: DataFrame, limit: int = TRAIN_DOCS) -> Model:
             yield pd.DataFrame({"doc_id": [x[0] for x in got], "lang": [x[1] for x in got], "ids": [x[2][0].astype("<u2").tobytes() for x in got], "counts": [x[2][1].astype("<u4").tobytes() for x in got]})
 
     rows = bounded(labelled.where("text is not null and lang is not null").select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text", "lang"), limit)
-    feats = rows.mapInPandas(run, "doc_id long, lang string, ids binary, counts binary").collect()
+    feats = at_most(rows.mapInPandas(run, "doc_id long, lang string, ids binary, counts binary"), 2 * limit)
     return train([(r[0], r[1], np.frombuffer(r[2], "<u2"), np.frombuffer(r[3], "<u4")) for r in feats])
 
 

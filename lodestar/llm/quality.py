@@ -104,7 +104,7 @@ class Model:
 
 def train(examples: list[tuple[int, int, np.ndarray]]) -> Model:
     """Fit on (id, label, feature ids). Every fifth example, by position, only sets the probabilities."""
-    examples = sorted(examples, key=lambda x: x[0])
+    examples = sorted(examples, key=lambda x: (x[0], x[1], x[2].tobytes()))
     if len({x[1] for x in examples}) < 2:
         share = examples[0][1] if examples else 0.5
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 4.0 * (share - 0.5) * 2)
@@ -152,10 +152,11 @@ def train(examples: list[tuple[int, int, np.ndarray]]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     """Train on the texts of docs (doc_id, text) that labels (doc_id, quality 0 or 1) mark, whole texts.
 
-    A hash of the id picks about ``limit`` labels, and only they are broadcast.
+    A hash picks about ``limit`` labels, each id with each label once, and only they are broadcast. Ids may
+    repeat among docs, but no more than twice ``limit`` of their documents are learned from.
     A document with contrary labels counts with each.
     """
-    from .lang_id import bounded
+    from .lang_id import at_most, bounded
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
 
     marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     rows = docs.select("doc_id", "text").join(F.broadcast(bounded(marks, limit)), "doc_id")
-    feats = rows.select("doc_id", "text", "quality").mapInPandas(run, "doc_id long, quality int, ids binary").collect()
+    feats = at_most(rows.select("doc_id", "text", "quality").mapInPandas(run, "doc_id long, quality int, ids binary"), 2 * limit)
     return train([(r[0], r[1], np.frombuffer(r[2], "<u4").astype(np.int64)) for r in feats])
 
 

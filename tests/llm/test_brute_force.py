@@ -667,3 +667,15 @@ def test_quality(spark, odd, empty):
     assert len(got) == len(ODD) and all(r.score is not None for r in got)
     assert quality.score(empty, model).count() == 0
     assert quality.score(odd, quality.fit(empty, labels)).count() == len(ODD)
+
+
+def test_training_samples_are_bounded_where_ids_repeat(spark):
+    rows = [(-1 if i % 3 == 0 else None if i % 3 == 1 else i, prose(8, i), ("en", "de")[i % 2]) for i in range(1200)] + [(None, "one row again and again", "en")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = lang_id.bounded(df, 300).count()
+    # A row that repeats comes with all its copies or not at all; the others are picked by themselves.
+    assert 120 < n % 600 < 300
+    assert len(lang_id.at_most(df, 200)) == 200 and lang_id.at_most(df.repartition(5), 200) == lang_id.at_most(df, 200)
+    assert set(lang_id.fit(df, 100).languages) == {"en", "de"}
+    labels = spark.createDataFrame([(-1, 1), (-1, 0)] + [(i, i % 2) for i in range(1200)], "doc_id long, quality int")
+    assert quality.score(df, quality.fit(df, labels, 50)).count() == len(rows)
