@@ -28,7 +28,7 @@ from .common import Scratch, components, in_slices, row_hashes, small, unused
 
 #: Fragments that partial overlaps are counted in, as bits of the hash.
 FRAGMENT_BITS = 4
-#: Longs of a set's bitmap, a power of two.
+#: Longs of a set's bitmaps, a power of two.
 WORDS = 8
 #: Rows of a bucket from which on overlaps are bounded by document frequencies too before its pairs are made.
 BUCKET = 512
@@ -81,6 +81,15 @@ def _set_name(s: np.ndarray) -> tuple[int, int]:
     return int(h[0]), int(h[1])
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """WORDS longs: by a hash's lowest bits, whether the set has an odd number of such hashes.
+
+    Where two sets differ in such a bit, one has a hash that the other lacks.
+    """
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix_length(n: int, t: Fraction) -> int:
     """N-grams of a set's first fragment; 0 where only an equal set reaches the threshold."""
     return 0 if n < t / (1 - t) else n + 1 - -(-n * t.numerator // t.denominator)
@@ -125,13 +134,13 @@ def _bits(prefix: str) -> Column:
 
 
 def _sets(src: DataFrame, words: int, t: Fraction, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, ra and rb (hashes of the row), n (size of the set), ha and hb (name of the set), prefix: its first fragment, tier: that of the prefix' last."""
+    """doc_id, ra and rb (hashes of the row), n (size of the set), ha and hb (name of the set), prefix: its first fragment, tier: that of the prefix' last, odd: parities of the whole set."""
     shared = src.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in in_slices(batches):
-            sizes, names, prefixes, tiers = [], [], [], []
+            sizes, names, prefixes, tiers, odd = [], [], [], [], []
             for x in b.column(3).to_pylist():
                 s = shingles(x, words)
                 sizes.append(len(s))
@@ -139,10 +148,11 @@ def _sets(src: DataFrame, words: int, t: Fraction, late: tuple[np.ndarray, np.nd
                 first, tier = _in_order(s, prefix_length(len(s), t), *order)
                 prefixes.append(first)
                 tiers.append(tier)
-            columns = [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([h[i] for h in names], pa.int64()) for i in (0, 1)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(tiers, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ra", "rb", "n", "ha", "hb", "prefix", "tier"])
+                odd.append(_parities(s))
+            columns = [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), *(pa.array([h[i] for h in names], pa.int64()) for i in (0, 1)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(tiers, pa.int64()), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ra", "rb", "n", "ha", "hb", "prefix", "tier", "odd"])
 
-    return src.select("doc_id", "ra", "rb", "text").mapInArrow(run, "doc_id long, ra long, rb long, n long, ha long, hb long, prefix array<long>, tier long")
+    return src.select("doc_id", "ra", "rb", "text").mapInArrow(run, "doc_id long, ra long, rb long, n long, ha long, hb long, prefix array<long>, tier long, odd array<long>")
 
 
 def _segments(df: DataFrame, words: int) -> DataFrame:
@@ -211,7 +221,7 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     src = df.select(F.col(id_).cast("long").alias("doc_id"), ra.alias("ra"), rb.alias("rb"), F.col(text).cast("string").alias("text"))
     docs = scratch.save(_sets(src, words, t, _late(src, words, ORDER_DOCS, LATE)), "sets")
     # Copies meet in partial aggregates; the number of a row in the saved table names its set.
-    nodes = docs.where("n > 0").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tier").alias("tier"), F.min(F.struct("ra", "rb")).alias("row"))
+    nodes = docs.where("n > 0").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tier").alias("tier"), F.first("odd").alias("odd"), F.min(F.struct("ra", "rb")).alias("row"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # Buckets of two nodes or more.
@@ -220,7 +230,7 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     met = scratch.save(rows.join(buckets, "g"), "met")
     # Of each node in a bucket: k n-grams of its first fragment, own of which no other first fragment has, and where it ends.
     info = nodes.join(met.groupBy("node").agg(F.count("*").alias("m")), "node")
-    info = info.select("node", "n", "copies", _bits("prefix").alias("bits"), F.size("prefix").alias("k"), (F.size("prefix") - F.col("m")).alias("own"), F.struct("tier", F.element_at("prefix", -1)).alias("end"), F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb"))
+    info = info.select("node", "n", "copies", _bits("prefix").alias("bits"), F.struct(*[F.col("odd")[i].alias(f"b{i}") for i in range(WORDS)]).alias("odd"), F.size("prefix").alias("k"), (F.size("prefix") - F.col("m")).alias("own"), F.struct("tier", F.element_at("prefix", -1)).alias("end"), F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb"))
     info = scratch.save(info, "info")
     rank = F.struct((-F.col("copies")).alias("r"), F.floor(1000 * F.col("own") / F.col("n")).alias("s"), "node")
     met = scratch.save(met.join(info.select("node", "n", "own", "end", rank.alias("rank")), "node"), "ranked")
@@ -270,16 +280,19 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     # its first fragment are its own, as sets of other roots lack them.
     in_set = Window.partitionBy("node").orderBy("pos")
     at = at.drop("own").join(most, "g").withColumns({"before": F.lag("g").over(in_set), "after": F.lead("g").over(in_set), "nth": F.row_number().over(in_set), "open": F.count("*").over(Window.partitionBy("node"))})
-    at = scratch.save(at.join(info.select("node", "bits", "k"), "node").withColumn("own", F.col("k") - F.col("open")).drop("k", "open"), "open")
+    at = scratch.save(at.join(info.select("node", "bits", "odd", "k"), "node").withColumn("own", F.col("k") - F.col("open")).drop("k", "open"), "open")
     no_bands = F.lit(None).cast("array<bigint>").alias("bands")
     at = at.where(F.col("rows") <= BUCKET).withColumn("bands", no_bands).unionByName(_banded(at.where(F.col("rows") > BUCKET), info, src, words, num, den))
     at = scratch.save(at, "bounded")
-    fields = F.struct("node", "n", "pos", "own", "end", "root", "bits", "bands", "before", "after", "nth")
+    fields = F.struct("node", "n", "pos", "own", "end", "root", "bits", "odd", "bands", "before", "after", "nth")
     x = at.where("root <> major").select("g", fields.alias("x"))
     y = at.select("g", (F.col("root") == F.col("major")).alias("big"), fields.alias("y"))
     by_position = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     by_band = F.aggregate(F.zip_with("x.bands", "y.bands", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda p, q: p + q)
-    can = bounded("x", "y", None) & _enough(F.least(by_position, F.coalesce(by_band, by_position)), F.col("x.n"), F.col("y.n"), num, den)
+    # Bits of parity that differ are n-grams of one set only, of the whole sets.
+    differ = sum((F.bit_count(F.col(f"x.odd.b{i}").bitwiseXOR(F.col(f"y.odd.b{i}"))) for i in range(WORDS)), F.lit(0))
+    by_parity = F.floor((F.col("x.n") + F.col("y.n") - differ) / 2)
+    can = _enough(F.least(by_parity, by_position, F.coalesce(by_band, by_position)), F.col("x.n"), F.col("y.n"), num, den) & bounded("x", "y", None)
     # N-grams that follow one another in both sets are a run; a pair is made at a run's first and last n-gram only. The
     # numbers of these give the run's length. All that two sets of different roots share is in these buckets, so none is left out.
     starts, ends = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)), F.coalesce(F.col("x.after") != F.col("y.after"), F.lit(True))
@@ -295,7 +308,7 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     for done in (buckets, met, info, at, tried):
         scratch.drop(done)
     nodes = nodes.join(roots, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("root"))
-    return docs.drop("prefix", "tier"), nodes
+    return docs.drop("prefix", "tier", "odd"), nodes
 
 
 def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, text: str = "text", id_: str = "doc_id") -> DataFrame:
