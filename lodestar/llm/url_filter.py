@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, unused
 
 #: Hex digits of the digest that the join compares first.
 SHORT = 8
@@ -63,5 +63,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     known = rules.withColumn("full", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("full", 1, SHORT))
     fits = tried.join(known, "short").where(F.col("digest") == F.col("full"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule_host").alias("a"), F.length("rule_path").alias("b"), "rule", "verdict")).alias("best"))
-    out = pages.join(best, ["host", "path"], "left")
+    # Rows without a host fit no rule; a number of their own keeps them from meeting in one task.
+    salt = unused(pages, "salt")
+    pages_by = pages.withColumn(salt, F.when(F.col("host") == "", F.monotonically_increasing_id()).otherwise(-1))
+    out = pages_by.join(best.withColumn(salt, F.lit(-1).cast("long")), ["host", "path", salt], "left")
     return out.select(*[c for c in pages.columns], F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
