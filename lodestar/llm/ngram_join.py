@@ -111,9 +111,11 @@ def _late(src: DataFrame, words: int, docs: int, size: int) -> tuple[np.ndarray,
     n = src.count()
     sample = src.select("text").sample(min(1.0, docs / n), seed=7) if n else src.select("text")
     counts = sample.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("c")).where("c >= 3")
-    top = np.array([tuple(r) for r in counts.orderBy(F.desc("c"), "g").limit(size).collect()], dtype=np.int64).reshape(-1, 2)
-    top = top[np.argsort(top[:, 0].astype(np.uint64))]
-    return top[:, 0].astype(np.uint64), np.log2(top[:, 1]).astype(np.int64)
+    # Columns, as a Python object a row would take tens of MB of the driver.
+    top = counts.orderBy(F.desc("c"), "g").limit(size).toArrow()
+    g, c = (top.column(x).to_numpy() for x in ("g", "c"))
+    by_hash = np.argsort(g.astype(np.uint64))
+    return g[by_hash].astype(np.uint64), np.log2(c[by_hash]).astype(np.int64)
 
 
 def _in_order(s: np.ndarray, k: int, late: np.ndarray, when: np.ndarray) -> tuple[np.ndarray, int]:
