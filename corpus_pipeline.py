@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, lang_id, mixing, ngram_join, shard
-from lodestar.llm.common import Scratch, read
+from lodestar.llm.common import Scratch, read, short_batches
 from lodestar.llm.queries import language_model
 
 #: Documents whose language is less certain than this are rejected, and those without letters.
@@ -25,16 +25,19 @@ def _with_own_columns(docs: DataFrame, judge, *results: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     model = language_model(spark, sf_dir)
     sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
     return _with_own_columns(docs, lambda d: lang_id.identify(d, model).where(sure), "lang_pred", "score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return ngram_join.keep_one(docs, threshold="0.8", words=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     benchmark = read(spark, sf_dir, "benchmark")
     return _with_own_columns(docs, lambda d: decontaminate.find_overlaps(d, benchmark).where("not contaminated"), "bench_items", "bench_equal", "contaminated")
 

@@ -16,11 +16,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes up to which a table is broadcast: a million rows of one long, fewer of wider ones.
 BROADCAST_BYTES = 8_000_000
 
+#: Rows of an Arrow batch at most. Whole texts travel in batches, which the JVM and the Python worker hold beside each other.
+BATCH_ROWS = 500
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most; a smaller number stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
