@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.numbers import quotient
 from ..operators import paging, timeseries as ts
 from ..operators.scan import month, running
 from .bindings import BARS, FILINGS, LISTINGS, MENTIONS, Tables
@@ -54,7 +55,7 @@ select issuer_id, target, d asof_day, round(c, 6) asof_value, round(c / open_pri
 def asof_forward_return(t: Tables):
     x = t.listings.select("issuer_id", "open_price", F.date_add("listed_on", 14).alias("target"))
     a = ts.asof_forward(x, t.bars, "issuer_id", "target", "day", "close", reach=10)
-    return a.select("issuer_id", "target", "asof_day", F.round("asof_value", 6).alias("asof_value"), F.round(F.col("asof_value") / F.col("open_price") - 1, 6).alias("ret"))
+    return a.select("issuer_id", "target", "asof_day", F.round("asof_value", 6).alias("asof_value"), F.round(quotient(F.col("asof_value"), F.col("open_price")) - 1, 6).alias("ret"))
 
 
 @query("asof_nearest", f"""
