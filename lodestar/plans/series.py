@@ -45,7 +45,7 @@ select issuer_id, horizon, d asof_day, round(c / open_price - 1, 6) ret from a""
 def calendar_returns(t: Tables):
     x = t.listings.withColumn("horizon", F.explode(F.array(F.lit(5), F.lit(10), F.lit(20)))).select("issuer_id", "open_price", "horizon", F.date_add("listed_on", F.col("horizon")).alias("target"))
     a = ts.asof_forward(x, t.bars, "issuer_id", "target", "day", "close")
-    return a.select("issuer_id", "horizon", "asof_day", F.round(F.col("asof_value") / F.col("open_price") - 1, 6).alias("ret"))
+    return a.select("issuer_id", "horizon", "asof_day", F.round(quotient(F.col("asof_value"), F.col("open_price")) - 1, 6).alias("ret"))
 
 
 @query("asof_forward_return", f"""
