@@ -37,7 +37,7 @@ def duck(odd):
     return c
 
 
-QUERIES = "asof_forward_return calendar_returns event_study_report".split()
+QUERIES = "asof_forward_return calendar_returns event_study_report fisher_ci spearman_pooled".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
