@@ -37,7 +37,7 @@ def duck(odd):
     return c
 
 
-QUERIES = "asof_forward_return calendar_returns event_study_report fisher_ci session_index session_returns sign_consistency spearman_pooled".split()
+QUERIES = "asof_forward_return calendar_returns event_study_report fisher_ci session_index session_returns sign_consistency spearman_by_entity spearman_pooled".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
