@@ -31,6 +31,11 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def short_shuffles(spark: SparkSession) -> None:
+    """From now on the session removes a query's shuffle files when the query ends, not when the driver's JVM happens to collect its plan."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,10 +76,11 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/lodestar-{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, what: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, what: str = "t", by: str | None = None) -> DataFrame:
+        """df as a table, in a folder a value of ``by`` if given."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{what}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, in_slices, row_hashes, small, unused
+from .common import Scratch, components, in_slices, row_hashes, short_shuffles, small, unused
 
 #: Fragments that partial overlaps are counted in, as bits of the hash.
 FRAGMENT_BITS = 4
@@ -32,6 +33,8 @@ FRAGMENT_BITS = 4
 WORDS = 8
 #: Rows of a bucket from which on overlaps are bounded by document frequencies too before its pairs are made.
 BUCKET = 512
+#: Rows of open buckets that meet in one pass, with bitmaps of 128 bytes each; more rows take more passes, so the disk holds those of one.
+PASS_ROWS = 8_000_000
 #: Least document frequencies of the bands that bound overlaps; an n-gram of one document is in none.
 BANDS = (2, 4, 8, 16, 64, 256)
 #: Words that a worker's table of hashes keeps.
@@ -221,21 +224,28 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     num, den = t.numerator, t.denominator
     ra, rb = row_hashes(df)
     src = df.select(F.col(id_).cast("long").alias("doc_id"), ra.alias("ra"), rb.alias("rb"), F.col(text).cast("string").alias("text"))
-    docs = scratch.save(_sets(src, words, t, _late(src, words, ORDER_DOCS, LATE)), "sets")
+    short_shuffles(df.sparkSession)
+    sets = scratch.save(_sets(src, words, t, _late(src, words, ORDER_DOCS, LATE)), "sets")
     # Copies meet in partial aggregates; the number of a row in the saved table names its set.
-    nodes = docs.where("n > 0").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tier").alias("tier"), F.first("odd").alias("odd"), F.min(F.struct("ra", "rb")).alias("row"))
+    nodes = sets.where("n > 0").groupBy("ha", "hb").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tier").alias("tier"), F.first("odd").alias("odd"), F.min(F.struct("ra", "rb")).alias("row"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    docs = scratch.save(sets.drop("prefix", "tier", "odd"), "docs")
+    scratch.drop(sets)
 
     # Buckets of two nodes or more.
     rows = nodes.select("node", F.posexplode("prefix").alias("pos", "g"))
     buckets = scratch.save(rows.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("g"), "grams")
-    met = scratch.save(rows.join(buckets, "g"), "met")
+    in_buckets = scratch.save(rows.join(buckets, "g"), "met")
+    scratch.drop(buckets)
     # Of each node in a bucket: k n-grams of its first fragment, own of which no other first fragment has, and where it ends.
-    info = nodes.join(met.groupBy("node").agg(F.count("*").alias("m")), "node")
+    info = nodes.join(in_buckets.groupBy("node").agg(F.count("*").alias("m")), "node")
     info = info.select("node", "n", "copies", _bits("prefix").alias("bits"), F.struct(*[F.col("odd")[i].alias(f"b{i}") for i in range(WORDS)]).alias("odd"), F.size("prefix").alias("k"), (F.size("prefix") - F.col("m")).alias("own"), F.struct("tier", F.element_at("prefix", -1)).alias("end"), F.col("row.ra").alias("ra"), F.col("row.rb").alias("rb"))
     info = scratch.save(info, "info")
+    names = scratch.save(nodes.select("node", "ha", "hb"), "names")
+    scratch.drop(nodes)
     rank = F.struct((-F.col("copies")).alias("r"), F.floor(1000 * F.col("own") / F.col("n")).alias("s"), "node")
-    met = scratch.save(met.join(info.select("node", "n", "own", "end", rank.alias("rank")), "node"), "ranked")
+    met = scratch.save(in_buckets.join(info.select("node", "n", "own", "end", rank.alias("rank")), "node"), "ranked")
+    scratch.drop(in_buckets)
 
     def bounded(a: str, b: str, common: Column | None) -> Column:
         """Whether two structs of a set can be a pair, with ``common`` n-grams of k in both first fragments, or by own and bits.
@@ -282,13 +292,14 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     # its first fragment are its own, as sets of other roots lack them.
     in_set = Window.partitionBy("node").orderBy("pos")
     at = at.drop("own").join(most, "g").withColumns({"before": F.lag("g").over(in_set), "after": F.lead("g").over(in_set), "nth": F.row_number().over(in_set), "open": F.count("*").over(Window.partitionBy("node"))})
-    at = scratch.save(at.join(info.select("node", "bits", "odd", "k"), "node").withColumn("own", F.col("k") - F.col("open")).drop("k", "open"), "open")
+    opened = scratch.save(at.join(info.select("node", "k"), "node").withColumn("own", F.col("k") - F.col("open")).drop("k", "open"), "open")
+    scratch.drop(met)
+    passes = max(1, -(-opened.count() // PASS_ROWS))
     no_bands = F.lit(None).cast("array<bigint>").alias("bands")
-    at = at.where(F.col("rows") <= BUCKET).withColumn("bands", no_bands).unionByName(_banded(at.where(F.col("rows") > BUCKET), info, src, words, num, den))
-    at = scratch.save(at, "bounded")
+    at = opened.where(F.col("rows") <= BUCKET).withColumn("bands", no_bands).unionByName(_banded(opened.where(F.col("rows") > BUCKET), info, src, words, num, den))
+    at = scratch.save(at.withColumn("pass", F.pmod(F.xxhash64("g"), F.lit(passes)).cast("int")), "bounded", by="pass")
+    scratch.drop(opened)
     fields = F.struct("node", "n", "pos", "own", "end", "root", "bits", "odd", "bands", "before", "after", "nth")
-    x = at.where("root <> major").select("g", fields.alias("x"))
-    y = at.select("g", (F.col("root") == F.col("major")).alias("big"), fields.alias("y"))
     by_position = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     by_band = F.aggregate(F.zip_with("x.bands", "y.bands", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda p, q: p + q)
     # Bits of parity that differ are n-grams of one set only, of the whole sets.
@@ -298,19 +309,29 @@ def _linked(scratch: Scratch, df: DataFrame, threshold: str, words: int, text: s
     # N-grams that follow one another in both sets are a run; a pair is made at a run's first and last n-gram only. The
     # numbers of these give the run's length. All that two sets of different roots share is in these buckets, so none is left out.
     starts, ends = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)), F.coalesce(F.col("x.after") != F.col("y.after"), F.lit(True))
-    cross = x.join(y, "g").where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & (starts | ends) & can)
     nth = F.when(F.col("x.node") < F.col("y.node"), F.col("x.nth")).otherwise(F.col("y.nth"))
     length = F.when(ends, nth + 1).otherwise(0) - F.when(starts, nth).otherwise(0)
-    cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum(length).alias("c"), F.max(in_index("x", "y")).alias("index"))
+
+    def crossed(part: DataFrame) -> DataFrame:
+        """(a, b, c, index) of the pairs of some buckets; bitmaps come to the rows here, as most tables of rows needn't hold them."""
+        part = part.join(info.select("node", "bits", "odd"), "node")
+        x = part.where("root <> major").select("g", fields.alias("x"))
+        y = part.select("g", (F.col("root") == F.col("major")).alias("big"), fields.alias("y"))
+        cross = x.join(y, "g").where((F.col("x.root") != F.col("y.root")) & (F.col("big") | (F.col("x.node") < F.col("y.node"))) & (starts | ends) & can)
+        return cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum(length).alias("c"), F.max(in_index("x", "y")).alias("index"))
+
+    cross = crossed(at)
+    if passes > 1:
+        each = [scratch.save(crossed(at.where(F.col("pass") == i)), "cross") for i in range(passes)]
+        cross = reduce(DataFrame.union, each).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("index").alias("index"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = scratch.save(counted(cross).join(known, ["a", "b"], "left_anti"), "pairs")
     second = scratch.save(_verify(second, info, src, words, num, den), "links")
     if second.limit(1).count():
         roots = scratch.save(components(scratch, first.union(second)), "roots")
-    for done in (buckets, met, info, at, tried):
+    for done in (info, at, tried):
         scratch.drop(done)
-    nodes = nodes.join(roots, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("root"))
-    return docs.drop("prefix", "tier", "odd"), nodes
+    return docs, names.join(roots, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("root"))
 
 
 def jaccard_components(df: DataFrame, threshold: str = "0.9", words: int = 3, text: str = "text", id_: str = "doc_id") -> DataFrame:
